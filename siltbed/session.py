@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when its measured size is at most this many bytes.
-BROADCAST_BYTES = 8 << 20
+BROADCAST_BYTES = 2 << 20
 
 
 def build_session(app: str = "siltbed", cpus: int | str = "*", partitions: int = 8, **conf: str) -> SparkSession:
