@@ -1,6 +1,601 @@
-"""The queries of the engine's own operators, and their SQL."""
+"""The queries of the engine's own operators over the test tables, and their SQL.
+
+The log of most queries is made of the events: a key for each user, the event number as commit timestamp, errors as
+deletes, ten events a transaction, a thousand a run; older runs lie in deeper levels. Where runs must have separate
+key ranges, the orders serve.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siltbed.functions import bloom, codec, metrics
+from siltbed.operators import compaction, merge, pruning, reads, txn
+from siltbed.session import shared_path
+from siltbed.sources import manifest as mf
+from siltbed.sources.tables import table
+
 QUERIES: dict = {}
-ORACLE: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def event_log(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events", "event_id", "user_id", "event_type")
+    run = F.floor(F.col("event_id") / 1000).cast("bigint")
+    return e.select(
+        F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 8, "0")).alias("key"),
+        F.lit(0).cast("bigint").alias("version"),
+        F.col("event_id").alias("commit_ts"),
+        F.col("event_type").alias("value"),
+        (F.col("event_type") == "error").alias("is_deleted"),
+        F.floor(F.col("event_id") / 10).cast("bigint").alias("txn_id"),
+        run.alias("run_id"),
+        F.when(run >= 6, 0).when(run >= 3, 1).otherwise(2).cast("int").alias("level"),
+    )
+
+
+_LOG = """WITH kv AS (
+  SELECT concat('u', lpad(CAST(user_id AS VARCHAR), 8, '0')) AS key, CAST(0 AS BIGINT) AS version, event_id AS commit_ts,
+    event_type AS value, event_type = 'error' AS is_deleted, event_id // 10 AS txn_id, event_id // 1000 AS run_id,
+    CAST(CASE WHEN event_id // 1000 >= 6 THEN 0 WHEN event_id // 1000 >= 3 THEN 1 ELSE 2 END AS INTEGER) AS level
+  FROM events)"""
+
+
+def _newest(where: str = "true", cols: str = "key, value", tail: str = "NOT is_deleted", order: str = "commit_ts DESC") -> str:
+    return f"""{_LOG}
+SELECT {cols} FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {order}) AS rn FROM kv WHERE {where}) t
+WHERE rn = 1 AND {tail}"""
+
+
+# -- reads
+
+
+@query(_newest("commit_ts <= 6000"))
+def kv_snapshot_scan(spark, d):
+    return reads.snapshot(event_log(spark, d), 6000).select("key", "value")
+
+
+@query(_newest())
+def kv_latest(spark, d):
+    return reads.snapshot(event_log(spark, d)).select("key", "value")
+
+
+@query(_newest("key = 'u00000042'"))
+def kv_get(spark, d):
+    return reads.get(event_log(spark, d), "u00000042").select("key", "value")
+
+
+@query(_newest("key = 'nobody'"))
+def kv_get_missing(spark, d):
+    return reads.get(event_log(spark, d), "nobody").select("key", "value")
+
+
+@query(_newest(tail="is_deleted", cols="key"))
+def kv_get_deleted(spark, d):
+    """The keys whose get says deleted."""
+    return reads.tombstones(event_log(spark, d)).select("key")
+
+
+@query(_newest("key IN ('u00000003', 'u00000007', 'u00000011', 'zzz')"))
+def kv_multi_get(spark, d):
+    return reads.multi_get(event_log(spark, d), ["u00000003", "u00000007", "u00000011", "zzz"]).select("key", "value")
+
+
+@query(_newest("key IN (SELECT concat('u', lpad(CAST(c_custkey AS VARCHAR), 8, '0')) FROM customer WHERE c_acctbal > 0)"))
+def kv_multi_get_table(spark, d):
+    keys = table(spark, d, "customer", "c_custkey", "c_acctbal").filter("c_acctbal > 0").select(
+        F.concat(F.lit("u"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("key")
+    )
+    return reads.multi_get(event_log(spark, d), keys).select("key", "value")
+
+
+@query(_newest("key = 'u00000042' AND commit_ts <= 5000"))
+def kv_snapshot_get(spark, d):
+    return reads.get(event_log(spark, d), "u00000042", 5000).select("key", "value")
+
+
+@query(_newest("key >= 'u00000010' AND key < 'u00000050'"))
+def kv_scan_range(spark, d):
+    return reads.scan(event_log(spark, d), "u00000010", "u00000050").select("key", "value")
+
+
+@query(_newest("key >= 'u00000010'") + " ORDER BY key LIMIT 10")
+def kv_scan_limit(spark, d):
+    return reads.scan(event_log(spark, d), "u00000010", None, 10).select("key", "value")
+
+
+@query(_newest("key < 'u00000050'"))
+def kv_scan_open_start(spark, d):
+    return reads.scan(event_log(spark, d), None, "u00000050").select("key", "value")
+
+
+@query(_newest("key >= 'u00000100'"))
+def kv_scan_open_end(spark, d):
+    return reads.scan(event_log(spark, d), "u00000100").select("key", "value")
+
+
+@query(_newest("key LIKE 'u0000010%'"))
+def kv_scan_prefix(spark, d):
+    return reads.scan_prefix(event_log(spark, d), "u0000010").select("key", "value")
+
+
+@query(_newest("key >= 'u00000033x'") + " ORDER BY key LIMIT 1")
+def kv_seek(spark, d):
+    return reads.seek(event_log(spark, d), "u00000033x").select("key", "value")
+
+
+@query(f"{_LOG} SELECT key, commit_ts, value, is_deleted FROM kv WHERE key >= 'u00000020' AND key < 'u00000030'")
+def kv_history(spark, d):
+    return reads.history(event_log(spark, d), "u00000020", "u00000030").select("key", "commit_ts", "value", "is_deleted")
+
+
+@query(_newest(tail="is_deleted", cols="key, commit_ts"))
+def kv_tombstones(spark, d):
+    return reads.tombstones(event_log(spark, d)).select("key", "commit_ts")
+
+
+@query(
+    f"""{_LOG} SELECT key, max(commit_ts) AS max_ts, count(*) AS versions, CAST(count(*) FILTER (is_deleted) AS BIGINT) AS deletes
+FROM kv WHERE run_id = (SELECT max(run_id) FROM kv) GROUP BY key"""
+)
+def kv_memtable(spark, d):
+    """The newest run as a memtable: versions of each key in it."""
+    log = event_log(spark, d)
+    last = log.agg(F.max("run_id")).first()[0]
+    active = log.filter(F.col("run_id") == F.lit(last))
+    return active.groupBy("key").agg(F.max("commit_ts").alias("max_ts"), F.count(F.lit(1)).alias("versions"), F.count_if("is_deleted").alias("deletes"))
+
+
+# -- merges
+
+
+@query(_newest(order="run_id DESC, commit_ts DESC", tail="true", cols="key, value, commit_ts"))
+def kv_merge_runs(spark, d):
+    return reads.versions_at(event_log(spark, d)).select("key", "value", "commit_ts")
+
+
+@query(
+    f"""{_LOG}, f AS (SELECT *, CASE run_id % 3 WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS age FROM kv)
+SELECT key, value, commit_ts FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY age, commit_ts DESC) AS rn FROM f) t WHERE rn = 1"""
+)
+def kv_k_way(spark, d):
+    log = event_log(spark, d)
+    return merge.k_way([log.filter(F.col("run_id") % 3 == r) for r in (2, 1, 0)]).select("key", "value", "commit_ts")
+
+
+@query(
+    f"""{_LOG}, u AS (SELECT key, max(commit_ts) AS commit_ts FROM kv WHERE run_id % 2 = 0 AND run_id < 4 GROUP BY key),
+l AS (SELECT key, max(commit_ts) AS commit_ts FROM kv WHERE run_id % 2 = 1 GROUP BY key)
+SELECT key, commit_ts FROM u UNION ALL SELECT key, commit_ts FROM l WHERE key NOT IN (SELECT key FROM u)"""
+)
+def kv_two_merge(spark, d):
+    log = event_log(spark, d)
+    best = lambda x: x.groupBy("key").agg(F.max("commit_ts").alias("commit_ts"))
+    return merge.two_way(best(log.filter("run_id % 2 = 0 and run_id < 4")), best(log.filter("run_id % 2 = 1")))
+
+
+def order_runs(spark, d):
+    """Runs with separate key ranges: a thousand order keys each."""
+    o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    return o.select(
+        F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("key"),
+        F.col("o_custkey").alias("commit_ts"),
+        F.col("o_orderstatus").alias("value"),
+        F.lit(0).cast("bigint").alias("version"),
+        F.lit(False).alias("is_deleted"),
+        F.floor(F.col("o_orderkey") / 1000).cast("bigint").alias("run_id"),
+    )
+
+
+_ORD = """WITH r AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key, o_custkey AS commit_ts, o_orderstatus AS value,
+  CAST(0 AS BIGINT) AS version, o_orderkey // 1000 AS run_id FROM orders)"""
+
+
+@query(f"{_ORD} SELECT key, value FROM r WHERE run_id IN (1, 2, 5)")
+def kv_concat_runs(spark, d):
+    r = order_runs(spark, d)
+    return merge.concat([r.filter(F.col("run_id") == i) for i in (1, 2, 5)]).select("key", "value")
+
+
+@query(f"{_ORD} SELECT key, value FROM r WHERE run_id IN (1, 2, 5) AND key >= '0000002500'")
+def kv_concat_seek(spark, d):
+    r = order_runs(spark, d)
+    return merge.concat_from([r.filter(F.col("run_id") == i) for i in (1, 2, 5)], "0000002500").select("key", "value")
+
+
+@query("SELECT key, coalesce(version, -1) AS version, commit_ts, count(*) AS n FROM (SELECT DISTINCT key, version, commit_ts FROM kv_log) t GROUP BY ALL")
+def kv_merge_exact(spark, d):
+    log = table(spark, d, "kv_log", "key", "version", "commit_ts", "memtable_id")
+    odd, even = log.filter("memtable_id % 2 = 1"), log.filter("memtable_id % 2 = 0")
+    once = merge.exact([odd, even]).groupBy("key", "version", "commit_ts").agg(F.count(F.lit(1)).alias("n"))
+    return once.withColumn("version", F.coalesce("version", F.lit(-1)))
+
+
+# -- metadata and pruning
+
+_SIZE = "strlen(key) + strlen(value) + 6"
+
+
+@query(f"{_ORD} SELECT run_id, count(*) AS rows, min(key) AS first_key, max(key) AS last_key, max(commit_ts) AS max_ts, CAST(sum({_SIZE}) AS BIGINT) AS bytes FROM r GROUP BY run_id")
+def kv_run_meta(spark, d):
+    return pruning.run_meta(order_runs(spark, d))
+
+
+@query(f"{_LOG} SELECT run_id, count(*) AS rows, min(key) AS first_key, max(key) AS last_key, max(commit_ts) AS max_ts, CAST(sum({_SIZE}) AS BIGINT) AS bytes FROM kv GROUP BY run_id")
+def kv_run_meta_events(spark, d):
+    return pruning.run_meta(event_log(spark, d))
+
+
+@query(
+    f"""{_ORD}, b AS (SELECT run_id, key, (row_number() OVER (PARTITION BY run_id ORDER BY key, commit_ts DESC) - 1) // 64 AS block_no FROM r)
+SELECT run_id, block_no, count(*) AS rows, min(key) AS first_key, max(key) AS last_key FROM b GROUP BY run_id, block_no"""
+)
+def kv_block_index(spark, d):
+    return pruning.block_index(order_runs(spark, d), 64, "run_id")
+
+
+@query(f"{_ORD} SELECT run_id FROM r GROUP BY run_id HAVING min(key) <= '0000007200' AND max(key) >= '0000004500'")
+def kv_run_prune(spark, d):
+    return pruning.runs_for_range(pruning.run_meta(order_runs(spark, d)), "0000004500", "0000007200").select("run_id")
+
+
+@query(f"{_ORD} SELECT run_id FROM r GROUP BY run_id HAVING min(key) <= '0000004321' AND max(key) >= '0000004321'")
+def kv_may_contain(spark, d):
+    return pruning.may_contain(pruning.run_meta(order_runs(spark, d)), "0000004321").select("run_id")
+
+
+@query(
+    f"""{_ORD}, b AS (SELECT key, (row_number() OVER (ORDER BY key, commit_ts DESC) - 1) // 64 AS block_no FROM r WHERE run_id = 4),
+i AS (SELECT block_no, max(key) AS last_key FROM b GROUP BY block_no) SELECT min(block_no) AS block_no FROM i WHERE last_key >= '0000004321'"""
+)
+def kv_find_block(spark, d):
+    blocks = pruning.block_index(order_runs(spark, d).filter("run_id = 4"), 64, "run_id")
+    return pruning.find_block(blocks, "0000004321")
+
+
+@query()
+def kv_packed_blocks(spark, d):
+    return pruning.packed_blocks(order_runs(spark, d))
+
+
+@query(
+    """SELECT requested, CAST(greatest(4096, ceil(requested / 4096.0) * 4096) AS INTEGER) AS aligned
+FROM (SELECT DISTINCT CAST(l_partkey AS INTEGER) AS requested FROM lineitem) t"""
+)
+def kv_block_align(spark, d):
+    p = table(spark, d, "lineitem", "l_partkey").select(F.col("l_partkey").cast("int").alias("requested")).distinct()
+    return p.select("requested", pruning.aligned(F.col("requested")).alias("aligned"))
+
+
+@query("SELECT log_id, octet_length(encode(key)) AS key_bytes, octet_length(encode(value)) AS value_bytes FROM kv_log WHERE octet_length(encode(key)) > 65535 OR octet_length(encode(value)) > 65535")
+def kv_value_sizes(spark, d):
+    log = table(spark, d, "kv_log", "log_id", "key", "value")
+    return pruning.too_large(log).select("log_id", F.octet_length("key").cast("bigint").alias("key_bytes"), F.octet_length("value").cast("bigint").alias("value_bytes"))
+
+
+@query(
+    """SELECT n, p, CAST(ceil(-n * ln(p) / power(ln(2), 2)) AS BIGINT) AS bits,
+CAST(greatest(1, round(ceil(-n * ln(p) / power(ln(2), 2)) / n * ln(2))) AS INTEGER) AS hashes
+FROM (VALUES (100, 0.01::DOUBLE), (1000, 0.001::DOUBLE), (10000, 0.0001::DOUBLE)) t(n, p)"""
+)
+def kv_bloom_sizing(spark, d):
+    t = spark.createDataFrame([(100, 0.01), (1000, 0.001), (10000, 0.0001)], "n int, p double")
+    return t.select("n", "p", bloom.bits_for(F.col("n"), F.col("p")).alias("bits"), bloom.hashes_for(F.col("n"), F.col("p")).alias("hashes"))
+
+
+@query()
+def kv_bloom_probe(spark, d):
+    """Keys of one run, and absent ones, against the filters of all runs."""
+    keys = [str(4000 + i).rjust(10, "0") for i in range(0, 400, 7)]
+    return bloom.probe_runs(bloom.run_filters(order_runs(spark, d)), [*keys, "absent", ""])
+
+
+# -- compaction
+
+_RUNS = "runs AS (SELECT DISTINCT level, run_id FROM kv)"
+
+
+@query(
+    f"""{_LOG}, {_RUNS} SELECT CAST(l AS INTEGER) AS level, (SELECT count(*) FROM runs WHERE level = l) AS files FROM range(0, 8) t(l)"""
+)
+def kv_level_counts(spark, d):
+    return compaction.level_counts(event_log(spark, d).select("level", "run_id").distinct())
+
+
+@query(
+    f"""{_LOG}, {_RUNS}, c AS (SELECT l AS level, (SELECT count(*) FROM runs WHERE level = l) AS files FROM range(0, 8) t(l)),
+p AS (SELECT level, level + 1 AS lower_level, files, lead(files) OVER (ORDER BY level) AS lower FROM c)
+SELECT CAST(level AS INTEGER) AS upper_level, CAST(lower_level AS INTEGER) AS lower_level, lower_level = 7 AS bottom,
+  CASE WHEN level = 0 THEN 'level 0 is full' WHEN lower = 0 THEN 'lower level is empty' ELSE 'lower level is small' END AS reason
+FROM p WHERE lower IS NOT NULL AND ((level = 0 AND files >= 4) OR (level > 0 AND lower = 0 AND files >= 4)
+  OR (level > 0 AND lower > 0 AND files > 0 AND floor(lower * 100 / files) < 200))
+ORDER BY level LIMIT 1"""
+)
+def kv_compact_pick(spark, d):
+    return compaction.pick(event_log(spark, d).select("level", "run_id").distinct())
+
+
+@query(
+    f"""{_LOG}, {_RUNS} SELECT level, run_id FROM runs WHERE level NOT IN (0, 1)
+UNION ALL SELECT CAST(1 AS INTEGER), CAST(v AS BIGINT) FROM (VALUES (1000001), (1000002)) t(v)"""
+)
+def kv_compact_apply(spark, d):
+    runs = event_log(spark, d).select("level", "run_id").distinct()
+    return compaction.apply_result(runs, 0, 1, spark.createDataFrame([(1000001,), (1000002,)], "run_id bigint"))
+
+
+@query(f"{_LOG} SELECT DISTINCT key, version, commit_ts, value, is_deleted, CAST(1 AS INTEGER) AS level FROM kv WHERE level IN (0, 1)")
+def kv_compact_l0(spark, d):
+    return compaction.merged(event_log(spark, d), 0, 1).select("key", "version", "commit_ts", "value", "is_deleted", "level")
+
+
+@query(f"{_LOG} SELECT DISTINCT key, version, commit_ts, value, is_deleted, CAST(2 AS INTEGER) AS level FROM kv WHERE level IN (1, 2)")
+def kv_compact_level(spark, d):
+    return compaction.merged(event_log(spark, d), 1, 2).select("key", "version", "commit_ts", "value", "is_deleted", "level")
+
+
+@query(f"{_LOG} SELECT count(*) AS rows, count(DISTINCT key) AS keys FROM kv")
+def kv_compact_outputs(spark, d):
+    """Rows and keys in the output files of a full rewrite."""
+    log = event_log(spark, d)
+    files = compaction.output_files(log, compaction.target_files(log, 64 << 10))
+    return files.groupBy("file_no").agg(F.count(F.lit(1)).alias("rows"), F.collect_set("key").alias("k")).agg(
+        F.sum("rows").alias("rows"), F.size(F.array_distinct(F.flatten(F.collect_list("k")))).cast("bigint").alias("keys")
+    )
+
+
+@query(
+    f"""{_LOG}, w AS (SELECT *, row_number() OVER (PARTITION BY key, commit_ts <= 6000 ORDER BY commit_ts DESC) AS rn FROM kv)
+SELECT key, commit_ts, value FROM w WHERE commit_ts > 6000 OR (rn = 1 AND NOT is_deleted)"""
+)
+def kv_gc_versions(spark, d):
+    return compaction.drop_old_versions(event_log(spark, d), 6000).select("key", "commit_ts", "value")
+
+
+# -- transactions
+
+
+@query(f"{_LOG} SELECT txn_id, key, max(commit_ts) AS seq, max_by(value, commit_ts) AS value FROM kv GROUP BY txn_id, key")
+def kv_txn_collapse(spark, d):
+    w = event_log(spark, d).select("txn_id", "key", F.col("commit_ts").alias("seq"), "value")
+    return txn.collapse(w)
+
+
+@query(f"{_LOG} SELECT txn_id, CAST(500 + dense_rank() OVER (ORDER BY txn_id) AS BIGINT) AS commit_ts FROM (SELECT DISTINCT txn_id FROM kv) t")
+def kv_commit_ts(spark, d):
+    return txn.commit_timestamps(event_log(spark, d), 500)
+
+
+@query(
+    f"""{_LOG}, w AS (SELECT DISTINCT txn_id, key, 5000 AS read_ts FROM kv WHERE txn_id < 30)
+SELECT txn_id, key FROM w WHERE EXISTS (SELECT 1 FROM kv WHERE kv.key = w.key AND kv.commit_ts > 9000)"""
+)
+def kv_conflicts(spark, d):
+    log = event_log(spark, d)
+    w = log.filter("txn_id < 30").select("txn_id", "key").distinct().withColumn("read_ts", F.lit(9000))
+    return txn.conflicts(w, log).select("txn_id", "key")
+
+
+@query(
+    f"""{_LOG}, w AS (SELECT DISTINCT txn_id, key, (txn_id - 3) * 10 AS read_ts, txn_id * 10 + 9 AS commit_ts FROM kv)
+SELECT DISTINCT a.txn_id FROM w a JOIN w b ON a.key = b.key AND b.txn_id <> a.txn_id AND b.commit_ts > a.read_ts AND b.commit_ts < a.commit_ts"""
+)
+def kv_conflicts_between(spark, d):
+    """Transactions that began while the three before them were open."""
+    w = event_log(spark, d).select(
+        "txn_id", "key", ((F.col("txn_id") - 3) * 10).alias("read_ts"), (F.col("txn_id") * 10 + 9).alias("commit_ts")
+    )
+    return txn.conflicts_between(w)
+
+
+@query()
+def kv_hash_conflicts(spark, d):
+    """The same with sets of key hashes."""
+    log = event_log(spark, d).withColumn("h", codec.polynomial_hash(F.col("key")))
+    done = log.groupBy("txn_id").agg(F.max("commit_ts").alias("commit_ts"), F.collect_set("h").alias("key_hashes"))
+    return txn.hash_conflicts(done.select("commit_ts", "key_hashes"), done.filter("txn_id < 30").select("txn_id", F.lit(9000).alias("read_ts"), "key_hashes"))
+
+
+@query(f"{_LOG} SELECT min(commit_ts) AS low_water_mark FROM kv WHERE txn_id >= 400")
+def kv_low_water_mark(spark, d):
+    return txn.low_water_mark(event_log(spark, d).filter("txn_id >= 400").select(F.col("commit_ts").alias("read_ts")))
+
+
+@query("SELECT max(event_id) AS recovered_ts FROM events")
+def kv_recover_ts(spark, d):
+    return txn.recovered_timestamp(event_log(spark, d))
+
+
+# -- manifest
+
+_EFFECTS = """WITH made AS (
+  SELECT record_no, flush_id AS id, 0 AS level FROM manifest WHERE type = 'flush' AND flush_id IS NOT NULL
+  UNION SELECT record_no, unnest(produced_ssts), CASE WHEN type = 'flush' THEN 0 ELSE coalesce(compaction_task.lower_level, 1) END FROM manifest WHERE type IN ('flush', 'compaction')
+  UNION SELECT record_no, unnest(compaction_task.output_ids), coalesce(compaction_task.lower_level, 1) FROM manifest WHERE type = 'compaction'),
+produced AS (SELECT * FROM made WHERE id IS NOT NULL),
+took AS (
+  SELECT record_no, unnest(compaction_task.upper_ids) AS id FROM manifest WHERE type = 'compaction'
+  UNION SELECT record_no, unnest(compaction_task.lower_ids) FROM manifest WHERE type = 'compaction'),
+consumed AS (
+  SELECT t.* FROM took t WHERE t.id IS NOT NULL AND t.record_no IN (SELECT record_no FROM produced)
+  AND NOT EXISTS (SELECT 1 FROM produced p WHERE p.record_no = t.record_no AND p.id = t.id)),
+ev AS (SELECT record_no, id, 1 AS made, level FROM produced UNION ALL SELECT record_no, id, 0, NULL FROM consumed)"""
+
+
+@query(
+    f"""{_EFFECTS} SELECT id AS sst_id, CAST(level AS INTEGER) AS level FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY record_no DESC, made DESC, level DESC) AS rn FROM ev) t WHERE rn = 1 AND made = 1"""
+)
+def kv_manifest_replay(spark, d):
+    return mf.replay(table(spark, d, "manifest"))
+
+
+@query(f"{_EFFECTS} SELECT DISTINCT memtable_id FROM manifest WHERE type = 'memtable' AND memtable_id IS NOT NULL AND memtable_id NOT IN (SELECT id FROM produced)")
+def kv_manifest_unflushed(spark, d):
+    return mf.memtables_to_replay(table(spark, d, "manifest"))
+
+
+@query("SELECT type, count(*) AS n FROM manifest WHERE type IS NOT NULL AND record_no % 10 <> 3 GROUP BY type")
+def kv_manifest_valid(spark, d):
+    """The manifest written as checksummed lines, a tenth of them damaged, and read back: the valid ones by type."""
+    m = table(spark, d, "manifest")
+    body = F.to_json(F.struct("type", F.col("flush_id").alias("flushID"), F.col("memtable_id").alias("memtableID"), F.lit(0).alias("checksum")))
+    crc = F.crc32(body.cast("binary")) + F.when(F.col("record_no") % 10 == 3, 1).otherwise(0)
+    lines = m.select(F.regexp_replace(body, r'"checksum":0\}$', F.concat(F.lit('"checksum":'), crc.cast("string"), F.lit("}"))).alias("value"))
+    return mf.parse(lines).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+# -- scalar functions
+
+
+def _hex(c: Column) -> Column:
+    return F.hex(c)
+
+
+@query(
+    """SELECT o_orderkey, concat(hex(lpad(CAST(o_orderkey AS VARCHAR), 10, '0')), lpad(upper(to_hex(o_custkey)), 16, '0'),
+  upper(to_hex(xor(CAST(o_orderkey AS BIGINT), CAST(-1 AS BIGINT))))) AS encoded FROM orders"""
+)
+def kv_key_encode(spark, d):
+    o = order_runs(spark, d)
+    e = codec.encode_key(F.col("key"), F.col("commit_ts"), F.col("key").cast("bigint"))
+    return o.select(F.col("key").cast("bigint").alias("o_orderkey"), _hex(e).alias("encoded"))
+
+
+@query("SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key, o_custkey AS version, o_orderkey AS commit_ts FROM orders")
+def kv_key_decode(spark, d):
+    o = order_runs(spark, d)
+    e = codec.decode_key(codec.encode_key(F.col("key"), F.col("commit_ts"), F.col("key").cast("bigint")))
+    return o.select(e.alias("x")).select(F.col("x.key").cast("string").alias("key"), "x.version", "x.commit_ts")
+
+
+@query("SELECT log_id, CAST(octet_length(encode(key)) + 16 AS BIGINT) AS size FROM kv_log WHERE key IS NOT NULL")
+def kv_element_size(spark, d):
+    log = table(spark, d, "kv_log", "log_id", "key").filter("key is not null")
+    return log.select("log_id", codec.element_size(F.col("key")).alias("size"))
+
+
+@query()
+def kv_hash31(spark, d):
+    return order_runs(spark, d).select("key", codec.polynomial_hash(F.col("key")).alias("h"))
+
+
+@query()
+def kv_crc32(spark, d):
+    return order_runs(spark, d).select("key", codec.checksum(F.col("key")).alias("crc"))
+
+
+@query(f"{_LOG} SELECT DISTINCT concat(run_id, '_', commit_ts // 100) AS cache_key FROM kv")
+def kv_cache_key(spark, d):
+    log = event_log(spark, d)
+    return log.select(codec.cache_key(F.col("run_id"), F.floor(F.col("commit_ts") / 100)).alias("cache_key")).distinct()
+
+
+@query("SELECT CAST(t AS INTEGER) AS t, CASE t WHEN 0 THEN 'Leveled' WHEN 1 THEN 'Tiered' WHEN 2 THEN 'Simple' WHEN 3 THEN 'NoCompaction' ELSE 'Unknown' END AS name FROM range(0, 6) r(t)")
+def kv_task_names(spark, d):
+    return spark.range(6).select(F.col("id").cast("int").alias("t")).withColumn("name", codec.task_name(F.col("t")))
+
+
+@query("SELECT record_no, coalesce(list_max(produced_ssts), 0) AS greatest FROM manifest")
+def kv_array_max(spark, d):
+    return table(spark, d, "manifest", "record_no", "produced_ssts").select("record_no", codec.array_max_or_zero(F.col("produced_ssts")).alias("greatest"))
+
+
+# -- log, metrics, streams
+
+
+@query("SELECT memtable_id, count(*) AS rows, min(log_id) AS first_index, max(log_id) AS last_index, CAST(sum(coalesce(octet_length(encode(key)), 0) + 16 + coalesce(octet_length(encode(value)), 0)) AS BIGINT) AS bytes FROM kv_log GROUP BY memtable_id")
+def kv_wal_index(spark, d):
+    """First and last index and size of each memtable's log."""
+    log = table(spark, d, "kv_log", "memtable_id", "log_id", "key", "value")
+    size = F.coalesce(F.octet_length("key"), F.lit(0)) + 16 + F.coalesce(F.octet_length("value"), F.lit(0))
+    return log.groupBy("memtable_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("log_id").alias("first_index"), F.max("log_id").alias("last_index"), F.sum(size.cast("bigint")).alias("bytes")
+    )
+
+
+@query("SELECT event_type AS op, count(*) AS n, CAST(count(*) FILTER (value IS NULL) AS BIGINT) AS without_value FROM events GROUP BY event_type")
+def kv_op_counts(spark, d):
+    return table(spark, d, "events", "event_type", "value").groupBy(F.col("event_type").alias("op")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value").isNull()).alias("without_value"))
+
+
+@query(
+    """WITH b AS (SELECT i, 0.0001 * power(2, i) AS le FROM range(0, 10) t(i)), v AS (SELECT value / 10000 AS v FROM events WHERE value IS NOT NULL)
+SELECT CAST(i AS INTEGER) AS bucket, (SELECT count(*) FROM v WHERE v <= le) AS n FROM b UNION ALL SELECT 10, (SELECT count(*) FROM v)"""
+)
+def kv_latency_histogram(spark, d):
+    e = table(spark, d, "events", "value").select((F.col("value") / 10000).alias("v"))
+    h = metrics.histogram(e, "v")
+    at = F.when(F.col("le") == float("inf"), 10).otherwise(F.round(F.log2(F.col("le") / metrics.START))).cast("int")
+    return h.select(at.alias("bucket"), "n")
+
+
+@query(_newest(tail="true", cols="key, commit_ts, value, is_deleted"))
+def kv_stream_latest(spark, d):
+    """The latest version of each key, from the events as a stream of files, drained."""
+    from siltbed.streaming.ingest import latest_by_key
+
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet" if d.endswith("/") else "*").parquet(_stream_folder(spark, d))
+    key = F.concat(F.lit("u"), F.lpad(F.col("user_id").cast("string"), 8, "0"))
+    log = s.select(key.alias("key"), F.col("event_id").alias("commit_ts"), F.col("event_type").alias("value"), (F.col("event_type") == "error").alias("is_deleted"))
+    out, done = shared_path(spark, "latest"), shared_path(spark, "latest-checkpoint")
+
+    def keep(df: DataFrame, number: int) -> None:
+        df.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    q = latest_by_key(log).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", done).trigger(availableNow=True).start()
+    q.awaitTermination()
+    batches = spark.read.parquet(out)
+    last = batches.agg(F.max("batch")).first()[0]
+    return batches.filter(F.col("batch") == F.lit(last)).select("key", "commit_ts", "value", "is_deleted")
+
+
+def _stream_folder(spark, d):
+    """A folder with nothing but the events, for the file source: written to the shared folder in eight files."""
+    path = shared_path(spark, "events-stream")
+    spark.read.parquet(f"{d}/events.parquet").repartition(8, "event_id").write.parquet(path)
+    return path
+
+
+@query("SELECT key, mod_revision FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC, mod_revision DESC) AS rn FROM kv_log WHERE key IS NOT NULL AND key <> '') t WHERE rn = 1 AND NOT coalesce(is_deleted, false)")
+def kv_stream_ingest(spark, d):
+    """The change log as a stream into a store of runs, then the store's current state."""
+    from siltbed.operators.change_store import ChangeStore
+    from siltbed.streaming.ingest import ingest, read_changes
+
+    cols = ["key", "commit_ts", "mod_revision", "is_deleted"]
+    src = shared_path(spark, "stream-source")
+    table(spark, d, "kv_log", *cols).repartition(6).write.parquet(src)
+    store = ChangeStore(spark, shared_path(spark, "stream-store"))
+    ingest(read_changes(spark, src, "key string, commit_ts bigint, mod_revision bigint, is_deleted boolean", 2), store, shared_path(spark, "stream-checkpoint")).awaitTermination()
+    return store.read().select("key", "mod_revision")
+
+
+@query(_newest("key < 'u00000050'"))
+def kv_engine(spark, d):
+    """The whole engine: events written as batches and single writes, flushed and compacted, then scanned."""
+    from siltbed.engine import Engine
+
+    e = Engine(spark, shared_path(spark, "engine"))
+    log = event_log(spark, d).filter("key < 'u00000050'")
+    cut = log.agg(F.max("commit_ts")).first()[0] or 0
+    for lo, hi in ((-1, cut // 2), (cut // 2, cut)):
+        part = reads.versions_at(log.filter((F.col("commit_ts") > lo) & (F.col("commit_ts") <= hi)))
+        e.write_batch(part.select("key", "value", "is_deleted"))
+    e.put("u-extra", "x")
+    e.delete("u-extra")
+    e.flush()
+    e.compact(full=True)
+    return e.scan()

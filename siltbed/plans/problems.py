@@ -20,7 +20,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_state(spark: SparkSession, d: str) -> DataFrame:
     log = table(spark, d, "kv_log", "log_id", "key", "version", "commit_ts", "mod_revision", "is_deleted", "value")
-    return apply_changes(log, "log_id").select("key", "version", "commit_ts", "mod_revision", "value")
+    state = apply_changes(log, "log_id")
+    return state.select("key", F.coalesce("version", F.lit(-1)).alias("version"), "commit_ts", "mod_revision", "value")
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +100,7 @@ WHERE rn = 1 AND NOT coalesce(is_deleted, false)
 """
 ORACLE = {
     "p1_found": _NEWEST.format(cols="key, mod_revision"),
-    "p1_state": _NEWEST.format(cols="key, version, commit_ts, mod_revision, value"),
+    "p1_state": _NEWEST.format(cols="key, coalesce(version, -1) AS version, commit_ts, mod_revision, value"),
     "p2_found": """
 SELECT p.probe_id FROM (
   SELECT probe_id, key, min(probe_id) OVER (PARTITION BY key) AS first_id FROM key_probe WHERE key IS NOT NULL AND key <> '') p
