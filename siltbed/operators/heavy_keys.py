@@ -44,22 +44,28 @@ def slices(df: DataFrame, key: str, by: str, heavy: list[tuple[str, int]], targe
     if not heavy:
         return None
     spark = df.sparkSession
-    names = spark.createDataFrame([(k, max(1, -(-n // target))) for k, n in heavy], "hk string, parts int")
+    names = spark.createDataFrame([(k, max(1, -(-n // target))) for k, n in heavy], "__hk string, __parts int")
     most = max(max(1, -(-n // target)) for _, n in heavy)
     points = [i / most for i in range(1, most)]
     if not points:
-        return names.select("hk", F.expr("cast(array() as array<bigint>)").alias("bounds"))
+        return names.select("__hk", F.expr("cast(array() as array<bigint>)").alias("__bounds"))
     found = (
-        df.join(F.broadcast(names), F.col(key) == F.col("hk"))
-        .groupBy("hk")
+        df.join(F.broadcast(names), F.col(f"`{key}`") == F.col("__hk"))
+        .groupBy("__hk", "__parts")
         .agg(F.percentile_approx(by, points, 10_000).alias("bounds"))
         .collect()  # at most TOP keys, each with at most `most` bounds
     )
     return spark.createDataFrame(
-        [(r["hk"], sorted({int(b) for b in r["bounds"] or []})) for r in found], "hk string, bounds array<bigint>"
+        [(r["__hk"], _thinned(r["bounds"] or [], r["__parts"])) for r in found], "__hk string, __bounds array<bigint>"
     )
 
 
+def _thinned(points: list[int], parts: int) -> list[int]:
+    """Of equally spaced quantiles, those that cut into parts."""
+    most = len(points) + 1
+    return sorted({int(points[min(len(points) - 1, round(i * most / parts) - 1)]) for i in range(1, parts)})
+
+
 def previous_by_key(
     df: DataFrame,
     key: str,
@@ -67,47 +73,55 @@ def previous_by_key(
     carry: str,
     heavy_share: int = 50,
     slice_rows: int = 250_000,
+    prev: str = "prev",
 ) -> DataFrame:
-    """df with the column prev: the value of carry in the row before, by the order columns, within the key.
-
-    (key, *order) must identify a row; the first order column must be a whole number without nulls. prev is null in
-    the first row of a key. Rows with a null or empty key are left out. A carry that is null counts as a value:
-    prev is then null. heavy_share: a key with more than 1/heavy_share of the rows is heavy. slice_rows: rows of a
-    slice, the most that one task gets of a heavy key (but for rows equal in the first order column, which stay
-    together).
+    """The rows of df, each once, with the column prev: the value of carry in the row before, by the order columns,
+    within the key.
+
+    Rows equal in key and order columns are repeats of one row; the one with the least carry stays. prev is null in
+    the first row of a key. Rows with a null or empty key are left out. Nulls in order columns come first; a carry
+    that is null counts as a value: prev is then null. The first order column must be a whole number. heavy_share: a
+    key with more than 1/heavy_share of the rows is heavy. slice_rows: rows of a slice, the most that one task gets of
+    a heavy key (but for rows equal in the first order column, which stay together). A column of df named like prev
+    is replaced; all others are kept.
     """
-    df = df.filter(has_key(key))
+    df = df.filter(has_key(f"`{key}`"))
+    columns = [c for c in df.columns if c != prev]
     heavy = heavy_hitters(df, key, heavy_share)
     parts = slices(df, key, order[0], heavy, slice_rows)
-    w = Window.partitionBy(key).orderBy(*order)
+    k = F.col(f"`{key}`")
+
+    def chained(rows: DataFrame, by: list[str]) -> DataFrame:
+        """Repeats taken out and prev set, in one sort of each group."""
+        line = Window.partitionBy(*by).orderBy(*order)
+        full = Window.partitionBy(*by).orderBy(*order, carry)
+        same = F.lit(True)
+        for c in order:
+            same = same & F.lag(c).over(full).eqNullSafe(F.col(c))
+        nth = F.row_number().over(full)
+        once = rows.withColumn("__again", (nth > 1) & same).filter(~F.col("__again")).drop("__again")
+        return once.withColumn("__first", F.row_number().over(line) == 1).withColumn(prev, F.lag(carry).over(line))
+
     if parts is None:
-        return df.withColumn("prev", F.lag(carry).over(w))
-    light = df.join(F.broadcast(parts.select("hk")), F.col(key) == F.col("hk"), "left_anti").withColumn(
-        "prev", F.lag(carry).over(w)
-    )
-    cut = F.size(F.filter("bounds", lambda b: b < F.col(order[0])))
-    hot = df.join(F.broadcast(parts), F.col(key) == F.col("hk")).withColumn("slice", cut).drop("hk", "bounds")
-    ws = Window.partitionBy(key, "slice").orderBy(*order)
-    inner = hot.withColumn("nth", F.row_number().over(ws)).withColumn("prev", F.lag(carry).over(ws))
-    # One row a slice: its last carry, moved on to the next slice that has rows.
-    last = hot.groupBy(key, "slice").agg(F.max_by(F.struct(F.col(carry).alias("v")), F.struct(*order)).alias("last"))
+        return chained(df, [key]).select(*columns, prev)
+    light = chained(df.join(F.broadcast(parts.select("__hk")), k == F.col("__hk"), "left_anti"), [key])
+    cut = F.size(F.filter("__bounds", lambda b: b < F.col(order[0])))
+    hot = df.join(F.broadcast(parts), k == F.col("__hk")).withColumn("__slice", cut).drop("__hk", "__bounds")
+    inner = chained(hot, [key, "__slice"])
+    # One row a slice: the carry of its last row, moved on to the next slice that has rows. A heavy key has few
+    # slices (its rows over slice_rows), and there are few heavy keys, so this side is bounded.
+    newest = F.max_by(F.struct(F.col(carry).alias("v")), F.struct(*order, F.coalesce(-F.col(carry), F.lit(float("-inf"))) if _number(df, carry) else F.lit(0)))
+    last = hot.groupBy(key, "__slice").agg(newest.alias("__last"))
     nxt = last.select(
-        F.col(key).alias("__k"),
-        F.col("slice").alias("__s"),
-        F.lag(F.col("last.v")).over(Window.partitionBy(key).orderBy("slice")).alias("__v"),
-    )
-    most = len(heavy) * 4_096  # slices of a heavy key are few: the bounds were made from counts
-    joined = inner.join(
-        F.broadcast(nxt) if _slices_bound(heavy, slice_rows) <= most else nxt,
-        F.col(key).eqNullSafe(F.col("__k")) & (F.col("slice") == F.col("__s")),
-        "left",
+        k.alias("__k"), F.col("__slice").alias("__s"), F.lag(F.col("__last.v")).over(Window.partitionBy(key).orderBy("__slice")).alias("__v")
     )
-    hot_out = joined.withColumn("prev", F.when(F.col("nth") == 1, F.col("__v")).otherwise(F.col("prev")))
-    return light.unionByName(hot_out.select(*light.columns))
+    joined = inner.join(F.broadcast(nxt), (k == F.col("__k")) & (F.col("__slice") == F.col("__s")), "left")
+    hot_out = joined.withColumn(prev, F.when(F.col("__first"), F.col("__v")).otherwise(F.col(prev)))
+    return light.select(*columns, prev).unionByName(hot_out.select(*columns, prev))
 
 
-def _slices_bound(heavy: list[tuple[str, int]], target: int) -> int:
-    return sum(-(-n // target) for _, n in heavy) + len(heavy)
+def _number(df: DataFrame, column: str) -> bool:
+    return dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
 def aggregate_by_key(df: DataFrame, key: str, partial: list[Column], final: list[Column], heavy_share: int = 50, salts: int = 64) -> DataFrame:
@@ -119,14 +133,14 @@ def aggregate_by_key(df: DataFrame, key: str, partial: list[Column], final: list
     heavy = heavy_hitters(df, key, heavy_share)
     if not heavy:
         return df.groupBy(key).agg(*partial).groupBy(key).agg(*final)
-    names = df.sparkSession.createDataFrame([(k,) for k, _ in heavy], "hk string")
-    light = df.join(F.broadcast(names), F.col(key) == F.col("hk"), "left_anti").groupBy(key).agg(*partial)
+    names = df.sparkSession.createDataFrame([(k,) for k, _ in heavy], "__hk string")
+    light = df.join(F.broadcast(names), F.col(key) == F.col("__hk"), "left_anti").groupBy(key).agg(*partial)
     hot = (
-        df.join(F.broadcast(names), F.col(key) == F.col("hk"), "left_semi")
-        .withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
-        .groupBy(key, "salt")
+        df.join(F.broadcast(names), F.col(key) == F.col("__hk"), "left_semi")
+        .withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+        .groupBy(key, "__salt")
         .agg(*partial)
-        .drop("salt")
+        .drop("__salt")
     )
     return reduce(DataFrame.unionByName, [light, hot]).groupBy(key).agg(*final)
 
@@ -138,5 +152,5 @@ def versions_not_rising(changes: DataFrame, key: str = "key", **params: int) ->
     rows without a key are left out. Result: key, mod_revision.
     """
     rows = changes.filter(has_key(key) & F.col("version").isNotNull())
-    w = previous_by_key(rows.dropDuplicates([key, "mod_revision"]), key, ["commit_ts", "mod_revision"], "version", **params)
+    w = previous_by_key(rows, key, ["commit_ts", "mod_revision"], "version", **params)
     return w.filter(F.col("version") <= F.col("prev")).select(key, "mod_revision")
