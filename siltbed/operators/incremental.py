@@ -9,11 +9,13 @@ between finds the partition still changed and replaces it again, so nothing is s
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from siltbed.session import broadcast_if_small, exists, hadoop_fs, remove, shared_path, written
+from siltbed.session import broadcast_if_small, exists, hadoop_fs, read_bytes, remove, shared_path, write_bytes, written
 from siltbed.sources.tables import has_key
 
 
@@ -107,13 +109,14 @@ class IncrementalTable:
                 .partitionBy(self.part)
                 .parquet(f"{self.path}/data")
             )
-            self.schema = marked.schema
+            write_bytes(self.spark, f"{self.path}/schema.json", marked.schema.json().encode())
             self.record(now)
         remove(self.spark, made, listed)
         return n
 
     def read(self) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.path}/data")
+        schema = T.StructType.fromJson(json.loads(read_bytes(self.spark, f"{self.path}/schema.json")))
+        df = self.spark.read.schema(schema).parquet(f"{self.path}/data")
         return df.filter(~F.col(MARK)).drop(MARK)
 
 
