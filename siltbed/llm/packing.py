@@ -33,6 +33,7 @@ POPULATION = 6
 ELITES = 2
 FULL = 0.985
 LEVELS = 6
+TASK_GROUPS = 16
 
 _STATE = "block bigint, island int, ids array<bigint>, sizes array<int>, elites array<array<int>>, used int, score double"
 
@@ -135,15 +136,17 @@ def _pack_blocks(items: DataFrame, capacity: int, blocks: int, base: str) -> Dat
             if rows:
                 yield pd.concat(rows)
 
+    # A group costs time far beyond its few bytes, so the number of tasks is set by groups and not left to the size of
+    # their data: at most TASK_GROUPS groups a task.
+    spark = items.sparkSession
+    tasks = max(min(blocks * ISLANDS, spark.sparkContext.defaultParallelism), -(-blocks * ISLANDS // TASK_GROUPS))
     each = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    state = written(
-        each.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))).groupBy("block", "island").applyInPandas(found, _STATE),
-        f"{base}/round=0",
-    )
+    spread = each.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))).repartition(tasks, "block", "island")
+    state = written(spread.groupBy("block", "island").applyInPandas(found, _STATE), f"{base}/round=0")
     for r in range(1, ROUNDS):
         guests = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elites").alias("guests"))
         state = written(
-            state.join(guests, ["block", "island"]).mapInPandas(migrated, _STATE), f"{base}/round={r}"
+            state.join(guests, ["block", "island"]).repartition(tasks, "block", "island").mapInPandas(migrated, _STATE), f"{base}/round={r}"
         )
     best = state.groupBy("block").agg(
         F.max_by(F.struct("ids", "sizes", F.col("elites")[0].alias("bins")), F.struct(-F.col("used"), "score", -F.col("island"))).alias("b")
