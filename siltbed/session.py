@@ -122,6 +122,15 @@ def broadcast_if_small(small: DataFrame, path: str, limit: int = BROADCAST_BYTES
     return F.broadcast(small) if size_of(small.sparkSession, path) <= limit else small
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """df over all cores before work that is heavy for each row, if its scan has far fewer partitions than that.
+
+    At scale a scan has more partitions than cores, and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def ship(spark: SparkSession) -> None:
     """Let executors import this package: on a cluster its source goes out as a zip, once a session."""
     if is_local(spark) or spark.conf.get("spark.siltbed.shipped", None):
