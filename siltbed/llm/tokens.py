@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.session import ship
+from siltbed.session import balanced, ship
 
 DIRECTORY = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
@@ -222,7 +222,7 @@ def encode(
         last = pa.array([len(done) // 4], pa.int32()) if count_only else _lists([done])
         return pa.table({"__row": group.column("__row")[:1], "n" if count_only else "ids": last})
 
-    short = base.filter(F.col("__text").isNull() | (F.length("__text") <= leaf)).mapInArrow(whole, out)
+    short = balanced(base.filter(F.col("__text").isNull() | (F.length("__text") <= leaf))).mapInArrow(whole, out)
     # The row number is the same whenever the scan is repeated; it keeps rows of the same id apart.
     long_ = base.withColumn("__row", F.monotonically_increasing_id()).filter(F.length("__text") > leaf)
     joined = (
