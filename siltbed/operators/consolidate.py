@@ -6,7 +6,11 @@ bytes, also when one key holds most records, and merged inside each range by Spa
 sorted runs and spills. Roll: each range is cut into outputs when the running sum of bytes passes the target; the
 running sum is made batch by batch over the sorted stream. Records are neither dropped nor deduplicated: the record
 counts of inputs and outputs are equal. Finally the outputs' key range, count and bytes are computed from the written
-files, and the plan's files are reported as replaced.
+files.
+
+Defined cases: null and empty lists and nulls inside them name nothing; a file listed twice counts once, with its
+known size; a file that is listed nowhere or without a size isn't known to be small; records with a null or empty key
+are left out; no files or no records give no outputs.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltbed.session import broadcast_if_small, shared_path, ship, written
+from siltbed.sources.tables import has_key
 
 #: Bytes of an entry besides key and value: two lengths of 16 bits, a 16-bit offset, version and timestamp of 64 bits.
 ENTRY_OVERHEAD = 22
@@ -131,22 +136,24 @@ def merge_runs(records: DataFrame, order: list[str], size: Column, target: int,
 
 
 class Consolidation:
-    """One consolidation: plan, merge, metadata. log holds the records of a flushed file under its memtable_id."""
+    """One consolidation: plan, merge, metadata.
+
+    log holds the records of a flushed file under its memtable_id, which is the file's number. The plan has all
+    undersized files in use; those that a compaction wrote have no records under a memtable_id, so they are planned
+    but not merged here.
+    """
 
     def __init__(self, manifest: DataFrame, files: DataFrame, log: DataFrame, below: int = SMALL, target: int = TARGET) -> None:
         spark = manifest.sparkSession
         self.base = shared_path(spark, "consolidation")
         self.plan = written(undersized(manifest, files, below), f"{self.base}/plan")
         few = broadcast_if_small(self.plan.select("sst_id"), f"{self.base}/plan")
-        self.records = (
-            log.filter(F.col("key").isNotNull() & (F.length("key") > 0))
-            .join(few, F.col("memtable_id") == F.col("sst_id"), "left_semi")
-        )
+        self.records = log.filter(has_key()).join(few, F.col("memtable_id") == F.col("sst_id"), "left_semi")
         order = ["key", "commit_ts", "mod_revision", "log_id"]
         self.outputs = written(
             merge_runs(self.records, order, entry_bytes(), target, f"{self.base}/files"), f"{self.base}/outputs"
         )
 
-    def replaced(self) -> DataFrame:
-        """The files that the outputs replace, from the metadata as written."""
+    def files(self) -> DataFrame:
+        """The files of the plan."""
         return self.plan.select("sst_id")

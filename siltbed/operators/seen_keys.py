@@ -31,6 +31,7 @@ from siltbed.sources.tables import has_key
 BITS = 12
 SHARD_BYTES = 1 << 20  #: about so many bytes of a sealed key table for each shard of a batch
 SEED = 7
+TASK_FILTERS = 8
 
 
 @dataclass
@@ -72,7 +73,10 @@ def seal(history: DataFrame, records: DataFrame, number_h: str, number_r: str, k
             {"gen": [int(pdf["gen"].iat[0])], "shard": [int(pdf["shard"].iat[0])], "n": [len(pdf)], "seed": [seed], "rows": [rows], "solution": [solution]}
         )
 
-    built = keys.select("gen", "shard", "h").groupBy("gen", "shard").applyInPandas(
+    # Solving costs far more than its bytes, so tasks are set by the number of filters, not by the size of their keys.
+    groups = shards * sum(batches)
+    tasks = max(min(groups, spark.sparkContext.defaultParallelism), -(-groups // TASK_FILTERS))
+    built = keys.select("gen", "shard", "h").repartition(tasks, "gen", "shard").groupBy("gen", "shard").applyInPandas(
         solve, "gen int, shard int, n bigint, seed bigint, rows bigint, solution binary"
     )
     return SeenKeys(keys, written(built, f"{base}/filters"), shards, bits)

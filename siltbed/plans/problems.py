@@ -42,7 +42,7 @@ def _consolidation(spark: SparkSession, d: str) -> Consolidation:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _consolidation(spark, d).replaced()
+    return _consolidation(spark, d).files()
 
 
 def p4_outputs(spark: SparkSession, d: str) -> DataFrame:
