@@ -22,6 +22,7 @@ from siltbed.sources.tables import has_key
 MARK = "__marker"
 #: The cover of the memtables is broadcast up to this size on disk, else joined by a shuffle.
 COVER_BYTES = 2 << 20
+PARTS = 500
 
 
 def row_hash(*columns: str) -> Column:
@@ -103,8 +104,10 @@ class IncrementalTable:
             marked = compute(keep).withColumn(MARK, F.lit(False)).unionByName(
                 changed.withColumn(MARK, F.lit(True)), allowMissingColumns=True
             )
+            # All rows of a partition into one task (a very large partition into several), so that it gets few files.
             (
-                marked.write.mode("overwrite")
+                marked.hint("rebalance", self.part)
+                .write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic")
                 .partitionBy(self.part)
                 .parquet(f"{self.path}/data")
@@ -166,10 +169,11 @@ def covered_to(points: DataFrame, point: str, ranges: DataFrame, first: str, las
     return at.select(point, "b.*").join(cut, ["size", "block"]).groupBy(point).agg(F.max("v").alias("upto"))
 
 
-def pending_changes(log: DataFrame, reports: DataFrame, span: int = 512) -> DataFrame:
+def pending_changes(log: DataFrame, reports: DataFrame, span: int | None = None) -> DataFrame:
     """The changes (key, mod_revision) of which no row was processed by a run that succeeded, each once.
 
-    The log is partitioned by ranges of span memtables. What the runs left behind is the recorded state: the
+    The log is partitioned by ranges of span memtables (by default so many that there are PARTS partitions at most; a
+    table that is kept from run to run fixes its span). What the runs left behind is the recorded state: the
     fingerprint of a partition's processed rows. Where it equals the fingerprint of all rows of the partition nothing
     is new there; the other partitions are recomputed and replaced by dynamic overwrite. Late repeats of a change lie
     in other partitions than the change itself, so at the end the changes with a processed row anywhere are taken out.
@@ -179,6 +183,9 @@ def pending_changes(log: DataFrame, reports: DataFrame, span: int = 512) -> Data
     base = shared_path(spark, "incremental")
     done = outcomes(reports).filter("status = 'succeeded'")
     rows = log.filter(has_key()).select("key", "mod_revision", "memtable_id")
+    if span is None:
+        lo, hi = log.agg(F.min("memtable_id"), F.max("memtable_id")).first()
+        span = max(512, -(-((hi or 0) - (lo or 0) + 1) // PARTS))
     cover = written(
         covered_to(rows, "memtable_id", done, "first_memtable_id", "last_memtable_id", "to_revision"), f"{base}/cover"
     )
