@@ -98,3 +98,29 @@ def may_contain(meta: DataFrame, key: str) -> DataFrame:
 def find_block(blocks: DataFrame, key: str) -> DataFrame:
     """The number of the block that contains a key, else of the first block with larger keys; null past the end."""
     return blocks.filter(F.col("last_key") >= key).agg(F.min("block_no").alias("block_no"))
+
+
+def entry_at(log: DataFrame, index: int, run: str = "run_id") -> DataFrame:
+    """The entry number index (from 0) of each run, in (key, newest first) order; runs that are shorter have none."""
+    nth = F.row_number().over(Window.partitionBy(run).orderBy(F.col("key"), F.col("commit_ts").desc()))
+    return log.withColumn("__nth", nth).filter(F.col("__nth") == index + 1).drop("__nth")
+
+
+def sorted_runs(meta: DataFrame) -> DataFrame:
+    """(level, runs): the runs of each level by first key, as point reads search them; ties by run number."""
+    pairs = F.array_sort(F.collect_list(F.struct("first_key", "run_id")))
+    return meta.groupBy("level").agg(F.transform(pairs, lambda x: x["run_id"]).alias("runs"))
+
+
+def overlapping_pairs(meta: DataFrame) -> DataFrame:
+    """(run_id, overlaps_next) in order of first key: whether a run's range meets that of the run after it; a level
+    whose runs never do is sorted. meta is one row a run."""
+    w = Window.partitionBy("level").orderBy("first_key", "run_id")
+    nxt = F.lead("first_key").over(w)
+    return meta.select("level", "run_id", F.coalesce(nxt <= F.col("last_key"), F.lit(False)).alias("overlaps_next"))
+
+
+def estimated_size(log: DataFrame, by: str) -> DataFrame:
+    """(by, bytes): bytes of a memtable, keys with their suffix and values, as they decide when it is full."""
+    size = F.octet_length("key") + F.lit(16) + F.coalesce(F.octet_length("value"), F.lit(0))
+    return log.filter(F.col("key").isNotNull()).groupBy(by).agg(F.sum(size.cast("bigint")).alias("bytes"))

@@ -86,3 +86,16 @@ def low_water_mark(active: DataFrame) -> DataFrame:
 def recovered_timestamp(log: DataFrame) -> DataFrame:
     """The clock after a restart: the greatest commit_ts of all tiers, 0 for an empty store."""
     return log.agg(F.coalesce(F.max("commit_ts"), F.lit(0)).cast("bigint").alias("recovered_ts"))
+
+
+def committed(timestamps: DataFrame, log: DataFrame) -> DataFrame:
+    """The timestamps (commit_ts) that some transaction committed at."""
+    return timestamps.join(log.select("commit_ts").distinct(), "commit_ts", "left_semi")
+
+
+def outcomes(txns: DataFrame, log: DataFrame, lost: DataFrame) -> DataFrame:
+    """(txn_id, state) of transactions: aborted if in lost, committed if the log has rows of it, else pending."""
+    done = log.select("txn_id").distinct().withColumn("__done", F.lit(True))
+    gone = lost.select("txn_id").distinct().withColumn("__lost", F.lit(True))
+    state = F.when(F.col("__lost"), "aborted").when(F.col("__done"), "committed").otherwise("pending")
+    return txns.select("txn_id").distinct().join(done, "txn_id", "left").join(gone, "txn_id", "left").select("txn_id", state.alias("state"))

@@ -599,3 +599,91 @@ def kv_engine(spark, d):
     e.flush()
     e.compact(full=True)
     return e.scan()
+
+
+# -- the remaining small operators
+
+
+@query(
+    f"""{_LOG} SELECT run_id, key, commit_ts, value FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY key, commit_ts DESC) AS rn FROM kv) t WHERE rn = 18"""
+)
+def kv_entry_at(spark, d):
+    return pruning.entry_at(event_log(spark, d), 17).select("run_id", "key", "commit_ts", "value")
+
+
+_META = "m AS (SELECT level, run_id, min(key) AS first_key, max(key) AS last_key FROM kv GROUP BY ALL)"
+
+
+@query(f"{_LOG}, {_META} SELECT level, array_to_string(list(run_id ORDER BY first_key, run_id), ',') AS runs FROM m GROUP BY level")
+def kv_sorted_runs(spark, d):
+    meta = event_log(spark, d).groupBy("level", "run_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+    return pruning.sorted_runs(meta).select("level", F.array_join(F.col("runs").cast("array<string>"), ",").alias("runs"))
+
+
+@query(
+    f"""{_LOG}, {_META} SELECT level, run_id, coalesce(lead(first_key) OVER (PARTITION BY level ORDER BY first_key, run_id) <= last_key, false) AS overlaps_next FROM m"""
+)
+def kv_overlaps(spark, d):
+    meta = event_log(spark, d).groupBy("level", "run_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+    return pruning.overlapping_pairs(meta)
+
+
+@query("SELECT memtable_id, CAST(sum(octet_length(encode(key)) + 16 + coalesce(octet_length(encode(value)), 0)) AS BIGINT) AS bytes FROM kv_log WHERE key IS NOT NULL GROUP BY memtable_id")
+def kv_memtable_size(spark, d):
+    return pruning.estimated_size(table(spark, d, "kv_log", "memtable_id", "key", "value"), "memtable_id")
+
+
+@query(f"{_LOG} SELECT commit_ts FROM (SELECT unnest([5, 77, 1000, 99999999]) AS commit_ts) t WHERE commit_ts IN (SELECT commit_ts FROM kv)")
+def kv_is_committed(spark, d):
+    wanted = spark.createDataFrame([(5,), (77,), (1000,), (99999999,)], "commit_ts bigint")
+    return txn.committed(wanted, event_log(spark, d))
+
+
+@query(
+    f"""{_LOG} SELECT o_orderkey AS txn_id, CASE WHEN o_orderkey % 7 = 0 THEN 'aborted' WHEN o_orderkey IN (SELECT txn_id FROM kv) THEN 'committed' ELSE 'pending' END AS state FROM (SELECT DISTINCT o_orderkey FROM orders) t"""
+)
+def kv_txn_states(spark, d):
+    ids = table(spark, d, "orders", "o_orderkey").select(F.col("o_orderkey").alias("txn_id"))
+    return txn.outcomes(ids, event_log(spark, d), ids.filter("txn_id % 7 = 0"))
+
+
+@query(f"{_LOG} SELECT CAST(floor(least((SELECT max(commit_ts) FROM kv), 4000) * 0.7) AS BIGINT) AS horizon")
+def kv_discard_horizon(spark, d):
+    mark = txn.recovered_timestamp(event_log(spark, d)).first()[0]
+    return spark.createDataFrame([(compaction.discard_horizon(mark, 4000),)], "horizon bigint")
+
+
+@query(f"{_LOG} SELECT CAST(max(run_id) + 1 AS BIGINT) AS next_run_id FROM kv")
+def kv_next_run_id(spark, d):
+    return event_log(spark, d).agg((F.max("run_id") + 1).alias("next_run_id"))
+
+
+@query("SELECT record_no, CAST(list_sum(produced_ssts) AS BIGINT) AS total FROM manifest WHERE len(produced_ssts) > 0")
+def kv_widen(spark, d):
+    m = table(spark, d, "manifest", "record_no", "produced_ssts").filter(F.size("produced_ssts") > 0)
+    wide = codec.widen(F.col("produced_ssts").cast("array<int>"))
+    return m.select("record_no", F.aggregate(F.filter(wide, lambda x: x.isNotNull()), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+
+
+@query("SELECT c_custkey, CAST(dense_rank() OVER (ORDER BY c_custkey) AS BIGINT) AS id FROM customer")
+def kv_sequence(spark, d):
+    return txn.numbered(table(spark, d, "customer", "c_custkey"), "c_custkey", 0, "id")
+
+
+@query(_newest("key >= 'u00000010' AND key < 'u00000050'", order="commit_ts DESC") + " AND key > 'u00000020'")
+def kv_cached_scan(spark, d):
+    """A block cache: the range is kept in memory, and a second, narrower scan reads it from there."""
+    part = event_log(spark, d).filter(reads.between("u00000010", "u00000050")).persist()
+    return reads.snapshot(part).filter("key > 'u00000020'").select("key", "value")
+
+
+@query(
+    "SELECT key, version, commit_ts, value, is_deleted FROM (SELECT key, coalesce(version, -1) AS version, commit_ts, value, coalesce(is_deleted, false) AS is_deleted FROM kv_log WHERE memtable_id <= 20) t"
+)
+def kv_log_batches(spark, d):
+    """Records collected into batches, one for each transaction and memtable, and flattened again."""
+    log = table(spark, d, "kv_log", "key", "version", "commit_ts", "value", "is_deleted", "memtable_id", "txn_id").filter("memtable_id <= 20")
+    rec = F.struct("key", F.coalesce("version", F.lit(-1)).alias("version"), "commit_ts", "value", F.coalesce("is_deleted", F.lit(False)).alias("is_deleted"))
+    batches = log.groupBy("memtable_id", "txn_id").agg(F.collect_list(rec).alias("records"))
+    return batches.select(F.explode("records").alias("r")).select("r.*")

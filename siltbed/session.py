@@ -56,9 +56,24 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_MADE: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path for a table in the shared folder."""
-    return f"{shared_root(spark)}/siltbed/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unused path for a table in the shared folder; sweep() removes it."""
+    path = f"{shared_root(spark)}/siltbed/{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.append(path)
+    return path
+
+
+def sweep(spark: SparkSession) -> int:
+    """Remove the intermediate tables that this process made; call it once their results were written or collected.
+
+    Results are read lazily from these tables, so nothing removes them earlier. Returns how many there were.
+    """
+    gone, _MADE[:] = list(_MADE), []
+    remove(spark, *gone)
+    return len(gone)
 
 
 def hadoop_fs(spark: SparkSession, path: str):
@@ -143,7 +158,7 @@ def ship(spark: SparkSession) -> None:
                 if f.endswith(".py"):
                     full = os.path.join(base, f)
                     z.write(full, os.path.relpath(full, os.path.dirname(here)))
-    path = shared_path(spark, "package") + "/siltbed.zip"
+    path = f"{shared_root(spark)}/siltbed/package-{uuid.uuid4().hex[:12]}/siltbed.zip"
     write_bytes(spark, path, buf.getvalue())
     spark.sparkContext.addPyFile(path)
     spark.conf.set("spark.siltbed.shipped", "1")
