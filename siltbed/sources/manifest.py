@@ -105,6 +105,7 @@ class ManifestFile:
         self.closed = False
         self.lines: list[str] = []
         self.recover()
+        self.bytes = sum(len(x) + 1 for x in self.lines)
 
     def _read(self, path: str) -> list[str]:
         return read_bytes(self.spark, path).decode("utf-8", "replace").splitlines() if exists(self.spark, path) else []
@@ -141,8 +142,57 @@ class ManifestFile:
         self.lines.append(text)
         self._write(self.main)
         remove(self.spark, self.side)
+        self.bytes += len(text) + 1
         if len(self.lines) % 64 == 0:
             self._write(self.backup)
+        if self.bytes > COMPACT_BYTES:
+            self.compact()
+            self.bytes = sum(len(x) + 1 for x in self.lines)
+
+    def compact(self) -> int:
+        """Rewrite the manifest without what later records made void; returns how many lines went.
+
+        A record keeps only those of its files that are still live, and goes if none is; memtables that were flushed
+        go with their records. The state that the manifest replays to stays the same.
+        """
+        records = self.records()
+        made: dict[int, int] = {}
+        flushed: set[int] = set()
+        produced: list[list[int]] = []
+        for n, r in enumerate(records):
+            task = r.get("compactionTask") or {}
+            ids = [*(r.get("producedSsts") or []), *(task.get("output_ids") or [])]
+            if r["type"] == "flush" and r.get("flushID") is not None:
+                ids.append(r["flushID"])
+            ids = list(dict.fromkeys(i for i in ids if i is not None)) if r["type"] in ("flush", "compaction") else []
+            produced.append(ids)
+            if r["type"] == "compaction" and ids:
+                for i in (*(task.get("upper_ids") or []), *(task.get("lower_ids") or [])):
+                    made.pop(i, None)
+            flushed.update(ids if r["type"] == "flush" else [])
+            made.update((i, n) for i in ids)
+        kept = []
+        for n, (r, ids) in enumerate(zip(records, produced, strict=True)):
+            live = [i for i in ids if made.get(i) == n]
+            if r["type"] in ("memtable", "freeze_memtable"):
+                if r["memtableID"] not in flushed:
+                    kept.append(self.lines[n])
+            elif live == ids:
+                if ids:
+                    kept.append(self.lines[n])
+            elif live:
+                new = {k: v for k, v in r.items() if k != "checksum"} | {"producedSsts": live}
+                if "compactionTask" in r:
+                    new["compactionTask"] = r["compactionTask"] | {"output_ids": live}
+                elif new.get("flushID") not in live:
+                    new["flushID"] = None
+                kept.append(line(new))
+        gone = len(self.lines) - len(kept)
+        if gone:
+            self.lines = kept
+            self._write(self.main)
+            self._write(self.backup)
+        return gone
 
     def records(self) -> list[dict]:
         return [json.loads(x) for x in self.lines]

@@ -155,6 +155,22 @@ def test_manifest_damage(spark, tmp_path):
     assert json.loads(mf.line({"type": "flush"}))["checksum"] > 0
 
 
+def test_manifest_compaction(spark, tmp_path):
+    m = mf.ManifestFile(spark, f"file://{tmp_path}/m")
+    for i in range(1, 9):
+        m.append(mf.memtable_record(i))
+        if i < 8:
+            m.append(mf.flush_record(i))
+    m.append(mf.compaction_record(0, [1, 2, 3], 1, [], False, [20, 21, 22]))
+    m.append(mf.compaction_record(1, [20], 2, [], False, [30]))
+    m.append(mf.compaction_record(1, [21], 2, [30], False, [30, 31]))
+    state = lambda: (sorted(tuple(r) for r in mf.replay(m.table()).collect()), [r[0] for r in mf.memtables_to_replay(m.table()).collect()])
+    before = state()
+    assert m.compact() > 0 and state() == before == ([(4, 0), (5, 0), (6, 0), (7, 0), (22, 1), (30, 2), (31, 2)], [8])
+    assert m.compact() == 0
+    assert [r["type"] for r in mf.ManifestFile(spark, f"file://{tmp_path}/m").records()] == [r["type"] for r in m.records()]
+
+
 def test_engine(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     e = Engine(spark, path)
