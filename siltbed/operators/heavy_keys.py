@@ -78,7 +78,7 @@ def previous_by_key(
     """The rows of df, each once, with the column prev: the value of carry in the row before, by the order columns,
     within the key.
 
-    Rows equal in key and order columns are repeats of one row; the one with the least carry stays. prev is null in
+    Rows equal in key and order columns are repeats of one row; the one with the greatest carry stays. prev is null in
     the first row of a key. Rows with a null or empty key are left out. Nulls in order columns come first; a carry
     that is null counts as a value: prev is then null. The first order column must be a whole number. heavy_share: a
     key with more than 1/heavy_share of the rows is heavy. slice_rows: rows of a slice, the most that one task gets of
@@ -94,7 +94,7 @@ def previous_by_key(
     def chained(rows: DataFrame, by: list[str]) -> DataFrame:
         """Repeats taken out and prev set, in one sort of each group."""
         line = Window.partitionBy(*by).orderBy(*order)
-        full = Window.partitionBy(*by).orderBy(*order, carry)
+        full = Window.partitionBy(*by).orderBy(*order, F.col(carry).desc_nulls_last())
         same = F.lit(True)
         for c in order:
             same = same & F.lag(c).over(full).eqNullSafe(F.col(c))
@@ -110,7 +110,7 @@ def previous_by_key(
     inner = chained(hot, [key, "__slice"])
     # One row a slice: the carry of its last row, moved on to the next slice that has rows. A heavy key has few
     # slices (its rows over slice_rows), and there are few heavy keys, so this side is bounded.
-    newest = F.max_by(F.struct(F.col(carry).alias("v")), F.struct(*order, F.coalesce(-F.col(carry), F.lit(float("-inf"))) if _number(df, carry) else F.lit(0)))
+    newest = F.max_by(F.struct(F.col(carry).alias("v")), F.struct(*order, carry))
     last = hot.groupBy(key, "__slice").agg(newest.alias("__last"))
     nxt = last.select(
         k.alias("__k"), F.col("__slice").alias("__s"), F.lag(F.col("__last.v")).over(Window.partitionBy(key).orderBy("__slice")).alias("__v")
@@ -120,10 +120,6 @@ def previous_by_key(
     return light.select(*columns, prev).unionByName(hot_out.select(*columns, prev))
 
 
-def _number(df: DataFrame, column: str) -> bool:
-    return dict(df.dtypes)[column] in ("tinyint", "smallint", "int", "bigint", "float", "double")
-
-
 def aggregate_by_key(df: DataFrame, key: str, partial: list[Column], final: list[Column], heavy_share: int = 50, salts: int = 64) -> DataFrame:
     """Aggregates per key in two steps, heavy keys through (key, salt) first.
 
