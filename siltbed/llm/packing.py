@@ -35,7 +35,7 @@ FULL = 0.985
 LEVELS = 6
 TASK_GROUPS = 16
 
-_STATE = "block bigint, island int, ids array<bigint>, sizes array<int>, elites array<array<int>>, used int, score double"
+_STATE = "block bigint, island int, ids array<bigint>, pieces array<int>, sizes array<int>, elites array<array<int>>, used int, score double"
 
 
 def best_fit(sizes: np.ndarray, items: np.ndarray, assign: np.ndarray, room: list[tuple[int, int]], capacity: int, opened: int) -> int:
@@ -109,19 +109,20 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, gener
 
 
 def _pack_blocks(items: DataFrame, capacity: int, blocks: int, base: str) -> DataFrame:
-    """items: item bigint, size int. Returns item, size, block, bin: the best island's packing of each block."""
+    """items: item bigint, piece int, size int. Returns these with block and bin: the best island's packing of each
+    block."""
 
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item")
         block, island = int(pdf["block"].iat[0]), int(pdf["island"].iat[0])
         sizes = pdf["size"].to_numpy(np.int64)
-        return _row(block, island, pdf["item"].to_numpy(), sizes, evolve(sizes, [], capacity, GENERATIONS, seed=1 + block * 1009 + island))
+        return _row(block, island, pdf["item"].to_numpy(), pdf["piece"].to_numpy(), sizes, evolve(sizes, [], capacity, GENERATIONS, seed=1 + block * 1009 + island))
 
-    def _row(block, island, ids, sizes, population):
+    def _row(block, island, ids, pieces, sizes, population):
         used, s = score(sizes, population[0], capacity)
         return pd.DataFrame(
             {
-                "block": [block], "island": [island], "ids": [ids], "sizes": [sizes.astype(np.int32)],
+                "block": [block], "island": [island], "ids": [ids], "pieces": [pieces], "sizes": [sizes.astype(np.int32)],
                 "elites": [[x.astype(np.int32) for x in population[:ELITES]]], "used": [used], "score": [s],
             }
         )
@@ -132,7 +133,7 @@ def _pack_blocks(items: DataFrame, capacity: int, blocks: int, base: str) -> Dat
             for r in pdf.itertuples(index=False):
                 sizes = np.asarray(r.sizes, np.int64)
                 start = [np.asarray(x, np.int32) for x in (*r.elites, *r.guests)]
-                rows.append(_row(r.block, r.island, np.asarray(r.ids), sizes, evolve(sizes, start, capacity, GENERATIONS, seed=7 + r.block * 1013 + r.island)))
+                rows.append(_row(r.block, r.island, np.asarray(r.ids), np.asarray(r.pieces), sizes, evolve(sizes, start, capacity, GENERATIONS, seed=7 + r.block * 1013 + r.island)))
             if rows:
                 yield pd.concat(rows)
 
@@ -149,10 +150,10 @@ def _pack_blocks(items: DataFrame, capacity: int, blocks: int, base: str) -> Dat
             state.join(guests, ["block", "island"]).repartition(tasks, "block", "island").mapInPandas(migrated, _STATE), f"{base}/round={r}"
         )
     best = state.groupBy("block").agg(
-        F.max_by(F.struct("ids", "sizes", F.col("elites")[0].alias("bins")), F.struct(-F.col("used"), "score", -F.col("island"))).alias("b")
+        F.max_by(F.struct("ids", "pieces", "sizes", F.col("elites")[0].alias("bins")), F.struct(-F.col("used"), "score", -F.col("island"))).alias("b")
     )
-    return best.select("block", F.explode(F.arrays_zip("b.ids", "b.sizes", "b.bins")).alias("x")).select(
-        F.col("x.ids").alias("item"), F.col("x.sizes").alias("size"), "block", F.col("x.bins").alias("bin")
+    return best.select("block", F.explode(F.arrays_zip("b.ids", "b.pieces", "b.sizes", "b.bins")).alias("x")).select(
+        F.col("x.ids").alias("item"), F.col("x.pieces").alias("piece"), F.col("x.sizes").alias("size"), "block", F.col("x.bins").alias("bin")
     )
 
 
@@ -181,9 +182,7 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n", capacity
     left = all_.select("item", (F.col("n") - whole * capacity).cast("int").alias("size"), whole.alias("piece")).filter(
         (F.col("size") > 0) | (F.col("piece") == 0)
     )
-    open_ = written(left, f"{base}/left")
-    pieces = open_.select("item", "piece")
-    todo, settled = open_.select("item", "size"), []
+    todo = left.select("item", "piece", "size")
     for level in range(LEVELS):
         count = todo.count()
         if not count:
@@ -194,12 +193,10 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n", capacity
         packed = written(packed.withColumn("fill", fill), f"{base}/packed={level}")
         last = blocks == 1 or level == LEVELS - 1
         done = packed if last else packed.filter(F.col("fill") >= FULL * capacity)
-        settled.append(done.select("item", "size", F.concat(F.lit(f"c{level}-"), "block", F.lit("-"), "bin").alias("container")))
+        parts.append(done.select("item", "piece", "size", F.concat(F.lit(f"c{level}-"), "block", F.lit("-"), "bin").alias("container")))
         if last:
             break
-        todo = packed.filter(F.col("fill") < FULL * capacity).select("item", "size")
-    for s in settled:
-        parts.append(s.join(pieces, "item").select("item", "piece", "size", "container"))
+        todo = packed.filter(F.col("fill") < FULL * capacity).select("item", "piece", "size")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
