@@ -87,7 +87,7 @@ def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rn
 def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, generations: int, seed: int) -> list[np.ndarray]:
     """The population after some generations, best first. Ends early once the least possible number is reached."""
     rng = np.random.default_rng(seed)
-    least = max(1, -(-int(sizes.sum()) // capacity))
+    least = max(1, -(-int(sizes.sum()) // capacity), int((sizes * 2 > capacity).sum()))  # two halves never share
     while len(population) < POPULATION:
         order = np.argsort(-sizes * (1 + 0.15 * (len(population) > 0) * rng.random(len(sizes))), kind="stable")
         assign = np.empty(len(sizes), np.int64)
@@ -191,12 +191,14 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n", capacity
         packed = _pack_blocks(todo, capacity, blocks, f"{base}/level={level}")
         fill = F.sum("size").over(_same_bin())
         packed = written(packed.withColumn("fill", fill), f"{base}/packed={level}")
-        last = blocks == 1 or level == LEVELS - 1
+        weak = packed.filter(F.col("fill") < FULL * capacity)
+        # Where most items lie in containers that can't be filled any better, opening them again gains nothing.
+        last = blocks == 1 or level == LEVELS - 1 or weak.count() * 2 > count
         done = packed if last else packed.filter(F.col("fill") >= FULL * capacity)
         parts.append(done.select("item", "piece", "size", F.concat(F.lit(f"c{level}-"), "block", F.lit("-"), "bin").alias("container")))
         if last:
             break
-        todo = packed.filter(F.col("fill") < FULL * capacity).select("item", "piece", "size")
+        todo = weak.select("item", "piece", "size")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

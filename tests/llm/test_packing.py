@@ -58,6 +58,13 @@ def test_pack(spark, block):
     assert len(fill) <= 1.03 * -(-sum(sizes) // 1000) + 1
 
 
+def test_items_that_cannot_share(spark):
+    """Items above half the capacity: one container each, found without opening them again and again."""
+    df = spark.range(300).selectExpr("id AS doc_id", "600 AS n")
+    got = packing.pack(df, capacity=1000, block=50).collect()
+    assert len({r["container"] for r in got}) == len(got) == 300
+
+
 def test_pack_edge(spark):
     s = "doc_id bigint, n int"
     assert packing.pack(spark.createDataFrame([], s)).count() == 0
