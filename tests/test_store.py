@@ -217,7 +217,8 @@ def test_engine(spark, tmp_path):
         e.get("b")
     e = Engine(spark, path)
     assert [r["key"] for r in e.scan("b", "e").collect()] == ["b", "c", "d"]
-    assert e.metrics.count["scan"] == 1
+    stats = e.stats()
+    assert stats["count"]["scan"] == 1 and stats["levels"] == {1: {"runs": 1, "rows": 8}} and stats["active_transactions"] == 0
 
 
 def test_engine_model(spark, tmp_path):
