@@ -24,6 +24,8 @@ from siltbed.sources.tables import has_key
 #: Fixed size of the frequent-items sketch, and of the list it gives: the proven bound of what is broadcast.
 TRACKED = 20_000
 TOP = 1_000
+#: Slices of all heavy keys together, and how many bounds are searched at once.
+SLICES, GROUP = 4_096, 64
 
 
 def heavy_hitters(df: DataFrame, key: str, heavy_share: int) -> list[tuple[str, int]]:
@@ -40,24 +42,35 @@ def heavy_hitters(df: DataFrame, key: str, heavy_share: int) -> list[tuple[str,
 
 
 def slices(df: DataFrame, key: str, by: str, heavy: list[tuple[str, int]], target: int) -> DataFrame | None:
-    """A small table (key, bounds): for each heavy key the inner bounds of its slices of about target rows."""
+    """A small table (__hk, __bounds): for each heavy key the inner bounds of its slices of about target rows, in
+    groups of GROUP. Where all heavy keys together would get more than SLICES slices, slices are larger instead, so
+    that what is broadcast has a fixed bound."""
     if not heavy:
         return None
     spark = df.sparkSession
-    names = spark.createDataFrame([(k, max(1, -(-n // target))) for k, n in heavy], "__hk string, __parts int")
-    most = max(max(1, -(-n // target)) for _, n in heavy)
+    target = max(target, -(-sum(n for _, n in heavy) // SLICES))
+    parts = {k: max(1, -(-n // target)) for k, n in heavy}
+    most = max(parts.values())
     points = [i / most for i in range(1, most)]
-    if not points:
-        return names.select("__hk", F.expr("cast(array() as array<bigint>)").alias("__bounds"))
-    found = (
-        df.join(F.broadcast(names), F.col(f"`{key}`") == F.col("__hk"))
-        .groupBy("__hk", "__parts")
-        .agg(F.percentile_approx(by, points, 10_000).alias("bounds"))
-        .collect()  # at most TOP keys, each with at most `most` bounds
-    )
-    return spark.createDataFrame(
-        [(r["__hk"], _thinned(r["bounds"] or [], r["__parts"])) for r in found], "__hk string, __bounds array<bigint>"
-    )
+    found = {}
+    if points:
+        names = spark.createDataFrame(list(parts.items()), "__hk string, __parts int")
+        rows = (
+            df.join(F.broadcast(names), F.col(f"`{key}`") == F.col("__hk"))
+            .groupBy("__hk")
+            .agg(F.percentile_approx(by, points, 10_000).alias("bounds"))
+            .collect()  # at most TOP keys with `most` bounds each
+        )
+        found = {r["__hk"]: _thinned(r["bounds"] or [], parts[r["__hk"]]) for r in rows}
+    grouped = [(k, [b[i : i + GROUP] for i in range(0, len(b), GROUP)]) for k in parts for b in [found.get(k, [])]]
+    return spark.createDataFrame(grouped, "__hk string, __bounds array<array<bigint>>")
+
+
+def slice_number(bounds: str, by: str) -> Column:
+    """How many bounds lie below a value: first by groups, then inside one; a null value lies below all bounds."""
+    below = lambda array: F.size(F.filter(array, lambda b: b < F.col(by)))
+    groups = F.size(F.filter(bounds, lambda g: g[0] < F.col(by)))
+    return F.when(groups == 0, 0).otherwise((groups - 1) * GROUP + below(F.get(bounds, groups - 1)))
 
 
 def _thinned(points: list[int], parts: int) -> list[int]:
@@ -105,11 +118,9 @@ def previous_by_key(
     if parts is None:
         return chained(df, [key]).select(*columns, prev)
     light = chained(df.join(F.broadcast(parts.select("__hk")), k == F.col("__hk"), "left_anti"), [key])
-    cut = F.size(F.filter("__bounds", lambda b: b < F.col(order[0])))
-    hot = df.join(F.broadcast(parts), k == F.col("__hk")).withColumn("__slice", cut).drop("__hk", "__bounds")
+    hot = df.join(F.broadcast(parts), k == F.col("__hk")).withColumn("__slice", slice_number("__bounds", order[0])).drop("__hk", "__bounds")
     inner = chained(hot, [key, "__slice"])
-    # One row a slice: the carry of its last row, moved on to the next slice that has rows. A heavy key has few
-    # slices (its rows over slice_rows), and there are few heavy keys, so this side is bounded.
+    # One row a slice: the carry of its last row, moved on to the next slice that has rows; at most SLICES + TOP rows.
     newest = F.max_by(F.struct(F.col(carry).alias("v")), F.struct(*order, carry))
     last = hot.groupBy(key, "__slice").agg(newest.alias("__last"))
     nxt = last.select(

@@ -93,7 +93,7 @@ def test_heavy_keys(spark):
     for k, c in by.items():
         c = sorted(c)
         want |= {(k, y[1]) for x, y in zip(c, c[1:]) if y[2] <= x[2]}
-    for params in ({}, {"heavy_share": 4, "slice_rows": 100}, {"heavy_share": 1000, "slice_rows": 11}):
+    for params in ({}, {"heavy_share": 4, "slice_rows": 100}, {"heavy_share": 1000, "slice_rows": 11}, {"heavy_share": 3, "slice_rows": 2}):
         got = [tuple(r) for r in versions_not_rising(df, **params).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert {k for k, _ in heavy_hitters(df, "key", 4)} == {"hot"}
