@@ -90,7 +90,7 @@ def entry_bytes(key: str = "key", value: str = "value") -> Column:
 def merge_runs(records: DataFrame, order: list[str], size: Column, target: int, path: str) -> DataFrame:
     """Write records sorted by order into outputs of about target bytes; returns (output, records, bytes, first, last).
 
-    order[0] is the key. Outputs have disjoint ranges of order and lie in path/output=N, N rising with the range.
+    order[0] is the key. Outputs have disjoint ranges of order and lie in path/__output=N, N rising with the range.
     An output passes target by one record at most, unless a single record is larger. No records give no outputs.
     """
     spark = records.sparkSession
@@ -100,7 +100,7 @@ def merge_runs(records: DataFrame, order: list[str], size: Column, target: int,
     ranges = max(1, min(round(total / (8 * target)) or 1, 100_000))
     # The range number leads the output's name, so outputs of later ranges have greater numbers.
     sorted_ = sized.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    out = T.StructType([*sized.schema.fields, T.StructField("output", T.LongType())])
+    out = T.StructType([*sized.schema.fields, T.StructField("__output", T.LongType())])
 
     def roll(batches: Iterator) -> Iterator:
         import numpy as np
@@ -121,13 +121,14 @@ def merge_runs(records: DataFrame, order: list[str], size: Column, target: int,
                     nth, before = nth + 1, int(ends[stop - 1])
                 at = stop
             room = int(ends[-1] - before) if len(sizes) else room
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels)], names=[*b.schema.names, "output"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(labels)], names=[*b.schema.names, "__output"])
 
-    rolled = sorted_.mapInArrow(roll, out)
-    rolled.write.mode("overwrite").partitionBy("output").parquet(path)
+    # The writer groups rows by output; with the whole order stated it finds them in place and keeps files sorted.
+    rolled = sorted_.mapInArrow(roll, out).sortWithinPartitions("__output", *order)
+    rolled.write.mode("overwrite").partitionBy("__output").parquet(path)
     back = spark.read.schema(T.StructType([*out.fields])).parquet(path)
     lead = F.struct(*order)
-    return back.groupBy("output").agg(
+    return back.groupBy(F.col("__output").alias("output")).agg(
         F.count(F.lit(1)).alias("records"),
         F.sum("__bytes").alias("bytes"),
         F.min(lead)[order[0]].alias("first_key"),

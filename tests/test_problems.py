@@ -4,6 +4,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -229,12 +230,16 @@ def test_merge_runs(spark, tmp_path, target):
     rng = random.Random(target)
     rows = [(rng.choice(["hot"] * 4 + [f"k{rng.randrange(50)}", None, ""]), i, "x" * rng.choice([0, 1, 30, 300]) if i % 9 else None) for i in range(700)]
     rows += rows[:50]
-    df = spark.createDataFrame(rows, "key string, commit_ts bigint, value string")
+    df = spark.createDataFrame(rows, "key string, commit_ts bigint, value string").withColumn("output", F.lit("a clashing name"))
     path = f"file://{tmp_path}/out"
     out = consolidate.merge_runs(df, ["key", "commit_ts"], consolidate.entry_bytes(), target, path).orderBy("output").collect()
     assert sum(o["records"] for o in out) == len(rows)
     back = spark.read.parquet(path)
     assert Counter(map(tuple, back.select("key", "commit_ts", "value").collect())) == Counter(rows)
     assert all(o["bytes"] < target + 400 for o in out)
+    for f in (tmp_path / "out").rglob("*.parquet"):
+        got = pq.ParquetFile(f).read(["key", "commit_ts"]).to_pylist()
+        order = [((r["key"] is not None, (r["key"] or "").encode()), r["commit_ts"]) for r in got]
+        assert order == sorted(order)
     assert all((x["last_key"] or "").encode() <= (y["first_key"] or "").encode() for x, y in zip(out, out[1:]))
     assert consolidate.merge_runs(df.limit(0), ["key"], consolidate.entry_bytes(), target, path + "0").count() == 0
