@@ -6,7 +6,7 @@ runs; readers list runs from it only, so a run that a lost job left half-written
 
 Read. The buckets of all runs meet in one task each without a shuffle; sorting rows that are already sorted runs is
 a merge (Spark's sort finds the runs), and the newest change of each key is kept. Tombstones hide a key only after
-the newest change was chosen, so a late, older put can't bring a deleted key back.
+the newest change was chosen, and compaction keeps them, so a late, older put can't bring a deleted key back.
 
 Order. A change is newer if its order columns, compared from left to right, are greater. Rows equal in key and order
 columns are repeats of one change; one of them is kept (the greatest by the remaining columns, so that the outcome is
@@ -152,15 +152,15 @@ class ChangeStore:
     # -- compaction
 
     def compact(self, force: bool = False) -> bool:
-        """Merge all live runs into one, without tombstones, once trigger runs are live (or if forced).
+        """Merge all live runs into one, once trigger runs are live (or if forced).
 
-        Every run takes part, so that no older put remains that a dropped tombstone was hiding.
+        Tombstones stay: an older put that a later append delivers must still find its key deleted.
         """
         live = self.runs()
         if len(live) < (2 if force else self.trigger):
             return False
         run = self.state["next"]
-        self._write(self.read(), run)
+        self._write(self._merged(), run)
         self.state |= {"next": run + 1, "live": [run]}
         self._publish()
         remove(self.spark, *[f"{self.path}/runs/{RUN}={r}" for r in live])

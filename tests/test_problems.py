@@ -66,6 +66,18 @@ def test_change_store(spark, tmp_path):
     assert state_of(s.read()) == model_state(rows)
 
 
+def test_late_put_after_compaction(spark, tmp_path):
+    rows = [(0, "k", 1, 1, False, "old"), (1, "k", 2, 2, True, None), (2, "j", 1, 3, False, "j"), (3, "k", 1, 1, False, "old")]
+    df = spark.createDataFrame(rows, CHANGES)
+    assert state_of(apply_changes(df, "log_id")) == model_state(rows) == {"j": (1, 3, "j")}
+    s = ChangeStore(spark, f"file://{tmp_path}/late", buckets=2, trigger=2)
+    for i in range(3):
+        s.append(df.filter(F.col("log_id") == i).drop("log_id"))
+        s.compact()
+    s.append(df.filter("log_id = 3").drop("log_id"))
+    assert len(s.runs()) == 2 and state_of(s.read()) == model_state(rows)
+
+
 def test_changes_edge(spark):
     assert apply_changes(spark.createDataFrame([], CHANGES), "log_id").count() == 0
     clash = spark.createDataFrame(
