@@ -5,18 +5,19 @@ order of falling frequency, words of equal frequency at their mean rank, a strai
 log rank. Repeated keywords make the line steep, bend it away (a large residual) or, where there are only a few of
 them, lift it as a whole (a large mean log frequency, its height); sentences do none of it. The divergence of a page is what of its words can't be explained by the prose of its language: each word is explained up
 to LEEWAY times its usual frequency there. Both are held against the pages of the same language and of comparable
-length (a factor of two), by medians and median deviations over all pages.
+length (a factor of two), by medians and median deviations over all bodies, copies counted once.
 
 A page is flagged if more than half of its words are unexplained and its curve is extreme, or links and tags make up
 so much of it that the curve has too few words to tell. Lines of machine logs are neither sentences nor keywords:
 they count as part of the page only.
 
-Models are statistics of all pages: usual word frequencies of each language (each page with equal weight; the WORDS
+Models are statistics of all bodies: usual word frequencies of each language (each body with equal weight; the WORDS
 most usual words of each of the LANGUAGES largest languages, so the broadcast model has a fixed bound; rarer words
-explain nothing, which only matters below their tiny frequency), and the medians.
+explain nothing, which only matters below their tiny frequency), and the medians. Copies and near copies of a body count
+once in all of them, however many there are: else a page that is a third of a corpus would pass for its prose.
 
 Defined results: null, empty and blank texts and bodies of fewer than LEAST words have no curve and are never flagged.
-A page without a language, or of one with fewer than MIN_PAGES pages, is compared with the language that explains
+A page without a language, or of one with fewer than MIN_PAGES bodies, is compared with the language that explains
 most of its words.
 """
 
@@ -139,9 +140,27 @@ def curves(p: DataFrame) -> DataFrame:
     )
 
 
+def with_body(p: DataFrame) -> DataFrame:
+    """p with body: equal for copies, and for most pairs of pages that share nearly all words and their counts.
+
+    It joins three of the extremes of the hashes of a page's (word, count) pairs, each of which two pages have in common
+    as often as they have pairs in common; unrelated pages of one language hardly ever agree in all three.
+    """
+    hashes = F.transform(F.arrays_zip("words", "counts"), lambda x: F.xxhash64(x["words"], x["counts"]))
+    third = F.array_min(F.transform("hashes", lambda h: h.bitwiseXOR(F.lit(1 << 62))))
+    return p.withColumn("hashes", hashes).withColumn("body", F.xxhash64(F.array_min("hashes"), F.array_max("hashes"), third)).drop("hashes")
+
+
+def one_each(p: DataFrame, *by: str) -> DataFrame:
+    """(row): one page of each body among the pages that agree in by."""
+    return p.groupBy(*by, "body").agg(F.min(F.struct("n", "row")).alias("b")).select("b.row")
+
+
 def usual_words(p: DataFrame) -> DataFrame:
-    """(lang, word, p): usual frequencies of the WORDS most usual words of each of the largest languages."""
+    """(lang, word, p): usual frequencies of the WORDS most usual words of each of the largest languages, over one page
+    of each body."""
     fit = p.filter((F.col("n") >= LEAST) & (F.length("lang") == 2))
+    fit = fit.join(one_each(fit, "lang"), "row", "left_semi")
     sizes = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= MIN_PAGES)
     sizes = sizes.orderBy(F.desc("pages"), "lang").limit(LANGUAGES)
     each = fit.select("lang", "n", F.explode(F.arrays_zip("words", "counts")).alias("x"))
@@ -197,15 +216,17 @@ def measures(docs: DataFrame, **columns: str) -> DataFrame:
     """All measures of each page with a curve, and whether it is stuffed."""
     spark = docs.sparkSession
     base = shared_path(spark, "stuffing")
-    p = written(pages(docs, **columns), f"{base}/pages").filter(F.col("n") >= LEAST)
+    p = written(with_body(pages(docs, **columns)), f"{base}/pages").filter(F.col("n") >= LEAST)
     model = [tuple(r) for r in usual_words(p).collect()]  # at most LANGUAGES * WORDS rows
-    head = p.select("row", "id", "n", "marks", "logged", F.floor(F.log2("n")).cast("int").alias("size"))
+    head = p.select("row", "id", "body", "n", "marks", "logged", F.floor(F.log2("n")).cast("int").alias("size"))
     m = written(head.join(explained(p, model), "row").join(curves(p), "row"), f"{base}/measures")
+    first = one_each(m, "like").withColumn("first", F.lit(True))
+    m = written(m.join(first, "row", "left"), f"{base}/bodies")
     # All sides that are broadcast have at most LANGUAGES times the number of size classes rows.
-    j = with_medians(m, m, ("share",))
-    j = written(with_medians(j, j.filter(F.col("share") >= 0.5 * F.col("share_mid")), CURVE), f"{base}/compared")
+    j = with_medians(m, m.filter("first"), ("share",))
+    j = written(with_medians(j, j.filter(F.col("first") & (F.col("share") >= 0.5 * F.col("share_mid"))), CURVE), f"{base}/compared")
     off = lambda c: F.col(c) - F.col(f"{c}_mid")
-    prose = j.filter(F.col("share") >= 0.5 * F.col("share_mid"))
+    prose = j.filter(F.col("first") & (F.col("share") >= 0.5 * F.col("share_mid")))
     dev = prose.groupBy("like").agg(*[(1.4826 * F.percentile_approx(F.abs(off(c)), 0.5)).alias(f"{c}_dev") for c in CURVE])
     j = j.join(F.broadcast(dev), "like", "left")
     total = F.col("n") + F.col("logged")

@@ -111,6 +111,16 @@ def test_stuffed(spark):
     assert stuffing.stuffed_pages(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_a_third_is_one_page(spark, near):
+    rows, bad = corpus()
+    rng = random.Random(3)
+    page = " ".join(rng.choice(["best watches", "cheap watches", "buy roof", "solar panel", "dental clinic", "car hire"]) for _ in range(60))
+    copies = [(2000 + i, HEAD + "\n" + page + (f" offer{chr(97 + i % 26)}" if near else ""), "en", "x") for i in range(len(rows) // 2)]
+    docs = spark.createDataFrame(rows + copies, "doc_id bigint, text string, lang string, n string")
+    assert {r[0] for r in stuffing.stuffed_pages(docs).collect()} == bad | {r[0] for r in copies}
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 @pytest.mark.parametrize("name", ["p6_ids", "p7_containers", "p7_found", "p8_found", "p8_curves"])
 def test_queries(spark, name):
