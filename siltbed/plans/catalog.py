@@ -693,8 +693,21 @@ def kv_cached_scan(spark, d):
     "SELECT key, version, commit_ts, value, is_deleted FROM (SELECT key, coalesce(version, -1) AS version, commit_ts, value, coalesce(is_deleted, false) AS is_deleted FROM kv_log WHERE memtable_id <= 20) t"
 )
 def kv_log_batches(spark, d):
-    """Records collected into batches, one for each transaction and memtable, and flattened again."""
-    log = table(spark, d, "kv_log", "key", "version", "commit_ts", "value", "is_deleted", "memtable_id", "txn_id").filter("memtable_id <= 20")
+    """Records collected into batches, one for each transaction and memtable, and flattened again; the first memtables."""
+    return _batched(_batch_log(spark, d).filter("memtable_id <= 20"))
+
+
+@query("SELECT key, coalesce(version, -1) AS version, commit_ts, value, coalesce(is_deleted, false) AS is_deleted FROM kv_log")
+def kv_log_batches_all(spark, d):
+    """The same for the whole log."""
+    return _batched(_batch_log(spark, d))
+
+
+def _batch_log(spark, d):
+    return table(spark, d, "kv_log", "key", "version", "commit_ts", "value", "is_deleted", "memtable_id", "txn_id")
+
+
+def _batched(log: DataFrame) -> DataFrame:
     rec = F.struct("key", F.coalesce("version", F.lit(-1)).alias("version"), "commit_ts", "value", F.coalesce("is_deleted", F.lit(False)).alias("is_deleted"))
     batches = log.groupBy("memtable_id", "txn_id").agg(F.collect_list(rec).alias("records"))
     return batches.select(F.explode("records").alias("r")).select("r.*")

@@ -37,6 +37,10 @@ def test_query(spark, duck, name):
         assert got == rows(names, cur.fetchall())
 
 
+def test_all_batches(spark, duck):
+    assert entry.queries()["kv_log_batches_all"](spark, SF).count() == duck.execute("SELECT count(*) FROM kv_log").fetchone()[0]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
