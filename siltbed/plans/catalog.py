@@ -7,12 +7,12 @@ key ranges, the orders serve.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions import bloom, codec, metrics
 from siltbed.operators import compaction, merge, pruning, reads, txn
-from siltbed.session import shared_path
+from siltbed.session import shared_path, written
 from siltbed.sources import manifest as mf
 from siltbed.sources.tables import table
 
@@ -612,6 +612,24 @@ def kv_engine(spark, d):
     return e.scan()
 
 
+@query(_newest())
+def kv_engine_all(spark, d):
+    """The whole engine over all events: the first events of all keys are one batch, their second ones the next, and so
+    on, so that every event is written, flushed or compacted, and then scanned with all keys."""
+    from siltbed.engine import Engine
+
+    e = Engine(spark, shared_path(spark, "engine"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("commit_ts"))
+    log = written(event_log(spark, d).withColumn("nth", nth), shared_path(spark, "engine-events"))
+    for i in range(1, (log.agg(F.max("nth")).first()[0] or 0) + 1):
+        e.write_batch(log.filter(F.col("nth") == i).select("key", "value", "is_deleted"))
+    e.put("u-extra", "x")
+    e.delete("u-extra")
+    e.flush()
+    e.compact(full=True)
+    return e.scan()
+
+
 # -- the remaining small operators
 
 

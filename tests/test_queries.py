@@ -41,6 +41,15 @@ def test_all_batches(spark, duck):
     assert entry.queries()["kv_log_batches_all"](spark, SF).count() == duck.execute("SELECT count(*) FROM kv_log").fetchone()[0]
 
 
+def test_engine_takes_all_events(spark, tmp_path):
+    events = [(i, i % 70, "error" if i % 70 == i % 11 else f"e{i}") for i in range(200)]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    df = entry.queries()["kv_engine_all"](spark, str(tmp_path))
+    newest = {u: kind for _, u, kind in events}
+    assert {tuple(r) for r in df.collect()} == {(f"u{u:08d}", kind) for u, kind in newest.items() if kind != "error"}
+    assert spark.read.parquet(*df.inputFiles()).count() == len(events) + 2  # all versions, and those of the single writes
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
