@@ -95,3 +95,21 @@ def probe_runs(filters: DataFrame, keys: list[str], run: str = "run_id") -> Data
                 yield pd.DataFrame({run: [d[run]] * len(keys), "key": keys, "maybe": contains(raw, d["bits"], d["hashes"], d["field"])})
 
     return filters.mapInPandas(ask, f"`{run}` {kind}, key string, maybe boolean")
+
+
+def probe_keys(filters: DataFrame, keys: DataFrame, run: str = "run_id") -> DataFrame:
+    """(run, key, maybe) for a table of (run, key): each key against the filter of the run it names.
+
+    A run's keys meet its filter in one task, as they do where the filter is built.
+    """
+    ship(filters.sparkSession)
+    kind = filters.schema[run].dataType.simpleString()
+
+    def ask(have: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if have.empty:
+            return pd.DataFrame({run: asked[run], "key": asked["key"], "maybe": False})
+        d = have.iloc[0]
+        maybe = contains([k.encode() for k in asked["key"]], int(d["bits"]), int(d["hashes"]), d["field"])
+        return pd.DataFrame({run: asked[run], "key": asked["key"], "maybe": maybe})
+
+    return filters.groupBy(run).cogroup(keys.select(run, "key").groupBy(run)).applyInPandas(ask, f"`{run}` {kind}, key string, maybe boolean")

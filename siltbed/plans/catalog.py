@@ -185,6 +185,18 @@ def kv_two_merge(spark, d):
     return merge.two_way(best(log.filter("run_id % 2 = 0 and run_id < 4")), best(log.filter("run_id % 2 = 1")))
 
 
+@query(
+    f"""{_LOG}, u AS (SELECT key, max(commit_ts) AS commit_ts FROM kv WHERE run_id % 2 = 0 GROUP BY key),
+l AS (SELECT key, max(commit_ts) AS commit_ts FROM kv WHERE run_id % 2 = 1 GROUP BY key)
+SELECT key, commit_ts FROM u UNION ALL SELECT key, commit_ts FROM l WHERE key NOT IN (SELECT key FROM u)"""
+)
+def kv_two_merge_all(spark, d):
+    """The same with all even runs as the upper side."""
+    log = event_log(spark, d)
+    best = lambda x: x.groupBy("key").agg(F.max("commit_ts").alias("commit_ts"))
+    return merge.two_way(best(log.filter("run_id % 2 = 0")), best(log.filter("run_id % 2 = 1")))
+
+
 def order_runs(spark, d):
     """Runs with separate key ranges: a thousand order keys each."""
     o = table(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
@@ -214,6 +226,22 @@ def kv_concat_seek(spark, d):
     return merge.concat_from([r.filter(F.col("run_id") == i) for i in (1, 2, 5)], "0000002500").select("key", "value")
 
 
+def _all_order_runs(spark, d) -> list[DataFrame]:
+    """All runs, in three groups."""
+    r = order_runs(spark, d)
+    return [r.filter(F.col("run_id") % 3 == i) for i in range(3)]
+
+
+@query(f"{_ORD} SELECT key, value FROM r")
+def kv_concat_runs_all(spark, d):
+    return merge.concat(_all_order_runs(spark, d)).select("key", "value")
+
+
+@query(f"{_ORD} SELECT key, value FROM r WHERE key >= '0000000700'")
+def kv_concat_seek_all(spark, d):
+    return merge.concat_from(_all_order_runs(spark, d), "0000000700").select("key", "value")
+
+
 @query("SELECT key, coalesce(version, -1) AS version, commit_ts, count(*) AS n FROM (SELECT DISTINCT key, version, commit_ts FROM kv_log) t GROUP BY ALL")
 def kv_merge_exact(spark, d):
     log = table(spark, d, "kv_log", "key", "version", "commit_ts", "memtable_id")
@@ -305,6 +333,16 @@ def kv_bloom_probe(spark, d):
     return bloom.probe_runs(bloom.run_filters(order_runs(spark, d)), [*keys, "absent", ""])
 
 
+@query()
+def kv_bloom_probe_all(spark, d):
+    """All keys, and an absent neighbour of each, against the filters of the runs whose range of keys holds them."""
+    log = order_runs(spark, d)
+    runs = log.groupBy("run_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+    own = log.select("run_id", "key").distinct()
+    near = own.select("run_id", F.concat("key", F.lit("x")).alias("key")).join(runs, "run_id").filter("key <= last_key").select("run_id", "key")
+    return bloom.probe_keys(bloom.run_filters(log), own.unionByName(near))
+
+
 # -- compaction
 
 _RUNS = "runs AS (SELECT DISTINCT level, run_id FROM kv)"
@@ -415,6 +453,29 @@ def kv_hash_conflicts(spark, d):
     return txn.hash_conflicts(done.select("commit_ts", "key_hashes"), done.filter("txn_id < 30").select("txn_id", F.lit(9000).alias("read_ts"), "key_hashes"))
 
 
+@query(
+    f"""{_LOG}, w AS (SELECT DISTINCT txn_id, key, txn_id * 10 + 9 AS read_ts FROM kv)
+SELECT txn_id, key FROM w WHERE EXISTS (SELECT 1 FROM kv WHERE kv.key = w.key AND kv.commit_ts > w.read_ts)"""
+)
+def kv_conflicts_all(spark, d):
+    """All transactions tried again, each on the snapshot that followed its first try."""
+    log = event_log(spark, d)
+    w = log.select("txn_id", "key").distinct().withColumn("read_ts", F.col("txn_id") * 10 + 9)
+    return txn.conflicts(w, log).select("txn_id", "key")
+
+
+@query(
+    f"""{_LOG}, last AS (SELECT key, max(txn_id) AS last_txn FROM kv GROUP BY key)
+SELECT DISTINCT txn_id FROM kv JOIN last USING (key) WHERE last_txn > txn_id"""
+)
+def kv_hash_conflicts_all(spark, d):
+    """The same with sets of key hashes."""
+    log = event_log(spark, d).withColumn("h", codec.polynomial_hash(F.col("key")))
+    done = log.groupBy("txn_id").agg(F.max("commit_ts").alias("commit_ts"), F.collect_set("h").alias("key_hashes"))
+    again = done.select("txn_id", (F.col("txn_id") * 10 + 9).alias("read_ts"), "key_hashes")
+    return txn.hash_conflicts(done.select("commit_ts", "key_hashes"), again)
+
+
 @query(f"{_LOG} SELECT min(commit_ts) AS low_water_mark FROM kv WHERE txn_id >= 400")
 def kv_low_water_mark(spark, d):
     return txn.low_water_mark(event_log(spark, d).filter("txn_id >= 400").select(F.col("commit_ts").alias("read_ts")))
