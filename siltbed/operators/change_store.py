@@ -1,13 +1,19 @@
-"""A log-structured store of changes: sorted runs, merge on read with tombstones, compaction.
+"""A log-structured store of changes: sorted runs, merge on read with tombstones, compaction by size.
 
-Layout. One table in the shared folder, partitioned by run and bucketed and sorted by key. Every append writes one
-run: the newest change of each key in the batch, sorted by key. A JSON manifest, replaced by rename, lists the live
-runs; readers list runs from it only, so a run that a lost job left half-written is never read.
+Layout. A table in the shared folder, partitioned by run and bucketed and sorted by key. Every append writes one run:
+the newest change of each key in the batch, sorted by key. A JSON manifest, replaced in one step, lists the live runs;
+readers list runs from it only. A run's name is unique to the attempt that writes it, so what a lost job left behind
+is never read, also if its batch is written again.
 
 Read. The buckets of all runs meet in one task each without a shuffle; sorting rows that are already sorted runs is
 a merge (Spark's sort finds the runs), and the newest change of each key is kept. Tombstones hide a key only after
 the newest change was chosen, and compaction keeps them, so a late, older put can't bring a deleted key back.
 
+Compaction. Once trigger runs are live, the newest ones are merged, each older run with them as long as it is at most
+GROWTH times as large as they are together. So a large run is rewritten only when it grows by half at least, and the
+number of live runs stays logarithmic. Which runs are merged doesn't matter for the result, as the order columns and
+not the age of a run decide. A full compaction may change the number of buckets.
+
 Order. A change is newer if its order columns, compared from left to right, are greater. Rows equal in key and order
 columns are repeats of one change; one of them is kept (the greatest by the remaining columns, so that the outcome is
 the same however the rows are spread). Null in an order column counts as older than any value.
@@ -30,11 +36,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltbed.session import exists, read_bytes, remove, shared_path, write_bytes
+from siltbed.session import exists, read_bytes, remove, shared_path, size_of, write_bytes
 from siltbed.sources.tables import has_key
 
 RUN = "__run"
 BODY = "__body"
+GROWTH = 2
 
 
 def newest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -70,41 +77,46 @@ class ChangeStore:
     order: list[str] = field(default_factory=lambda: ["commit_ts", "mod_revision"])
     deleted: str = "is_deleted"
     buckets: int = 0
-    trigger: int = 4  #: compact when so many runs are live
+    trigger: int = 4  #: with so many live runs, compaction begins
 
     def __post_init__(self) -> None:
-        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"siltbed_{uuid.uuid4().hex[:16]}"
         self.manifest = f"{self.path}/MANIFEST.json"
         if exists(self.spark, self.manifest):
             self.state = json.loads(read_bytes(self.spark, self.manifest))
-            self.buckets = self.state["buckets"]
-            self.schema = T.StructType.fromJson(self.state["schema"])
-            self._register()
         else:
-            self.state = {"next": 1, "live": [], "buckets": self.buckets, "schema": None, "appended": []}
-            self.schema = None
+            buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            self.state = {"live": [], "buckets": buckets, "table": self._new("runs"), "schema": None, "appended": []}
+        self._open()
+
+    @staticmethod
+    def _new(name: str) -> str:
+        return f"{name}-{uuid.uuid4().hex[:12]}"
+
+    def _open(self) -> None:
+        self.name = f"siltbed_{uuid.uuid4().hex[:16]}"
+        self.buckets = self.state["buckets"]
+        self.schema = T.StructType.fromJson(self.state["schema"]) if self.state["schema"] else None
+        if self.schema is not None:
+            self._register()
 
     # -- writing
 
-    def append(self, changes: DataFrame, batch_id: str | None = None) -> int:
-        """Write one sorted run and publish it. A batch_id already appended is not appended again."""
+    def append(self, changes: DataFrame, batch_id: str | None = None) -> str | int:
+        """Write one sorted run and publish it; returns its name. A batch_id already appended is not appended again:
+        then -1."""
         if batch_id is not None and batch_id in self.state["appended"]:
             return -1
         clean = changes.filter(has_key(f"`{self.key}`")).withColumn(
             self.deleted, F.coalesce(F.col(f"`{self.deleted}`"), F.lit(False))
         )
-        run = self.state["next"]
-        self._write(newest(clean, self.key, self.order), run)
-        self.state["next"] = run + 1
-        self.state["live"].append(run)
-        if batch_id is not None:
-            self.state["appended"].append(batch_id)
-        self._publish()
+        run = self._write(newest(clean, self.key, self.order))
+        done = [batch_id] if batch_id is not None else []
+        self._publish(live=[*self.state["live"], self._sized(run)], appended=[*self.state["appended"], *done])
         return run
 
-    def _write(self, df: DataFrame, run: int) -> None:
-        df = df.select(F.lit(run).cast("int").alias(RUN), *df.columns)
+    def _write(self, df: DataFrame) -> str:
+        run = self._new("r")
+        df = df.select(F.lit(run).alias(RUN), *df.columns)
         if self.schema is None:
             self.schema = df.schema
             self.state["schema"] = df.schema.jsonValue()
@@ -114,36 +126,43 @@ class ChangeStore:
             .partitionBy(RUN)
             .bucketBy(self.buckets, self.key)
             .sortBy(self.key)
-            .option("path", f"{self.path}/runs")
+            .option("path", f"{self.path}/{self.state['table']}")
             .saveAsTable(self.name)
         )
+        return run
+
+    def _sized(self, run: str) -> list:
+        return [run, size_of(self.spark, f"{self.path}/{self.state['table']}/{RUN}={run}")]
 
     def _register(self) -> None:
         """Name an existing table in this session's catalogue (its files stay where they are)."""
         fields = [f for f in self.schema.fields if f.name != RUN] + [self.schema[RUN]]
         cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
         self.spark.sql(
-            f"CREATE TABLE {self.name} ({cols}) USING parquet OPTIONS (path '{self.path}/runs') "
+            f"CREATE TABLE {self.name} ({cols}) USING parquet OPTIONS (path '{self.path}/{self.state['table']}') "
             f"PARTITIONED BY ({RUN}) CLUSTERED BY (`{self.key}`) SORTED BY (`{self.key}`) INTO {self.buckets} BUCKETS"
         )
         self.spark.catalog.recoverPartitions(self.name)
 
-    def _publish(self) -> None:
-        write_bytes(self.spark, self.manifest, json.dumps(self.state).encode())
+    def _publish(self, **changed) -> None:
+        """The state changes in memory only once it has changed on disk."""
+        state = self.state | changed
+        write_bytes(self.spark, self.manifest, json.dumps(state).encode())
+        self.state = state
 
     # -- reading
 
-    def runs(self) -> list[int]:
-        return list(self.state["live"])
+    def runs(self) -> list[str]:
+        return [run for run, _ in self.state["live"]]
 
-    def changes(self) -> DataFrame:
-        """All rows of the live runs."""
+    def changes(self, runs: list[str] | None = None) -> DataFrame:
+        """All rows of the live runs, or of some of them."""
         if self.schema is None:
             raise ValueError("the store has no run yet")
-        return self.spark.table(self.name).filter(F.col(RUN).isin(self.state["live"]))
+        return self.spark.table(self.name).filter(F.col(RUN).isin(self.runs() if runs is None else runs))
 
-    def _merged(self) -> DataFrame:
-        return newest(self.changes().drop(RUN), self.key, self.order)
+    def _merged(self, runs: list[str] | None = None) -> DataFrame:
+        return newest(self.changes(runs).drop(RUN), self.key, self.order)
 
     def read(self) -> DataFrame:
         """The current state: each live key once, with its newest change."""
@@ -151,22 +170,46 @@ class ChangeStore:
 
     # -- compaction
 
-    def compact(self, force: bool = False) -> bool:
-        """Merge all live runs into one, once trigger runs are live (or if forced).
+    def due(self) -> list[str]:
+        """The runs to merge now, if any."""
+        live = self.state["live"]
+        take, size = 1, live[-1][1] if live else 0
+        while take < len(live) and live[-take - 1][1] <= GROWTH * size:
+            take, size = take + 1, size + live[-take - 1][1]
+        return [run for run, _ in live[-take:]] if len(live) >= max(self.trigger, 2) and take > 1 else []
+
+    def compact(self, force: bool = False, buckets: int = 0) -> bool:
+        """Merge the runs that are due; if forced, all live runs into one, into another number of buckets if that is
+        given. Returns whether anything was merged.
 
-        Tombstones stay: an older put that a later append delivers must still find its key deleted.
+        Tombstones stay: an older put that a later append delivers must still find its key deleted. The merged run is
+        published before the runs it replaces are deleted.
         """
-        live = self.runs()
-        if len(live) < (2 if force else self.trigger):
+        if force and buckets and buckets != self.buckets and self.runs():
+            return self._rebuild(buckets)
+        runs = self.runs() if force else self.due()
+        if len(runs) < 2:
             return False
-        run = self.state["next"]
-        self._write(self._merged(), run)
-        self.state |= {"next": run + 1, "live": [run]}
-        self._publish()
-        remove(self.spark, *[f"{self.path}/runs/{RUN}={r}" for r in live])
+        run = self._write(self._merged(runs))
+        kept = [x for x in self.state["live"] if x[0] not in runs]
+        self._publish(live=[*kept, self._sized(run)])
+        remove(self.spark, *[f"{self.path}/{self.state['table']}/{RUN}={r}" for r in runs])
         self.spark.catalog.refreshTable(self.name)
         return True
 
+    def _rebuild(self, buckets: int) -> bool:
+        """All runs into one, in a new table with another number of buckets."""
+        old, merged, before = self.state["table"], self._merged(), self.state
+        mine = self.name
+        self.name, self.buckets, self.state = f"siltbed_{uuid.uuid4().hex[:16]}", buckets, before | {"table": self._new("runs")}
+        try:
+            self._publish(live=[self._sized(self._write(merged))], buckets=buckets)
+        except BaseException:
+            self.name, self.buckets, self.state = mine, before["buckets"], before
+            raise
+        remove(self.spark, f"{self.path}/{old}")
+        return True
+
 
 def apply_changes(
     changes: DataFrame,
@@ -174,14 +217,15 @@ def apply_changes(
     key: str = "key",
     order: tuple[str, ...] = ("commit_ts", "mod_revision"),
     deleted: str = "is_deleted",
-    batches: int = 4,
+    batches: int = 6,
     name: str = "changes",
 ) -> DataFrame:
-    """The current state from a table of deliveries: appended in batches by arrival, compacted, merged on read.
+    """The current state from a table of deliveries: appended in batches by arrival, compacted when due, merged on
+    read.
 
     batches is the number of runs that the deliveries are cut into by ranges of arrival, which only bounds the size
-    of one append; the result doesn't depend on it. The last batch is left beside the compacted run, so the read
-    merges. A null in arrival belongs to the first batch. Result: the columns of changes without arrival.
+    of one append; the result doesn't depend on it, nor on when compactions happen. A null in arrival belongs to the
+    first batch. Result: the columns of changes without arrival.
     """
     spark = changes.sparkSession
     store = ChangeStore(spark, shared_path(spark, name), key, list(order), deleted)
@@ -198,6 +242,6 @@ def apply_changes(
         if i == 0:
             inside = F.col(arrival).isNull() | (F.col(arrival) < a + step)
         store.append(changes.filter(inside).drop(arrival), batch_id=str(a))
-        if i + 2 == len(cuts):
-            store.compact(force=True)
+        if i + 1 < len(cuts):
+            store.compact()
     return store.read()

@@ -643,13 +643,13 @@ def _stream_folder(spark, d):
 
 @query("SELECT key, mod_revision FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY commit_ts DESC, mod_revision DESC) AS rn FROM kv_log WHERE key IS NOT NULL AND key <> '') t WHERE rn = 1 AND NOT coalesce(is_deleted, false)")
 def kv_stream_ingest(spark, d):
-    """The change log as a stream into a store of runs, then the store's current state."""
+    """The change log as a stream into a store of runs, six batches with compactions between, then the current state."""
     from siltbed.operators.change_store import ChangeStore
     from siltbed.streaming.ingest import ingest, read_changes
 
     cols = ["key", "commit_ts", "mod_revision", "is_deleted"]
     src = shared_path(spark, "stream-source")
-    table(spark, d, "kv_log", *cols).repartition(6).write.parquet(src)
+    table(spark, d, "kv_log", *cols).repartition(12).write.parquet(src)
     store = ChangeStore(spark, shared_path(spark, "stream-store"))
     ingest(read_changes(spark, src, "key string, commit_ts bigint, mod_revision bigint, is_deleted boolean", 2), store, shared_path(spark, "stream-checkpoint")).awaitTermination()
     return store.read().select("key", "mod_revision")

@@ -100,17 +100,28 @@ def size_of(spark: SparkSession, path: str) -> int:
 
 
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
-    """Write to a temporary name and rename, so that a reader sees all of the file or none."""
+    """Write to a temporary name and replace path in one step: at any moment a reader sees the old file or the new one.
+
+    A local folder replaces by rename. Other file systems refuse to rename onto a file, and are asked to overwrite
+    while renaming, which those with real renames do in one step.
+    """
     fs, p = hadoop_fs(spark, path)
-    jvm = spark.sparkContext._jvm
-    tmp = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    hadoop = jvm.org.apache.hadoop.fs
+    if fs.getUri().getScheme() == "file":
+        fs = fs.getRawFileSystem()  # without checksum files, which would be a second rename
+    tmp = hadoop.Path(f"{path}.{uuid.uuid4().hex[:8]}.tmp")
     out = fs.create(tmp, True)
     out.write(bytearray(data))
     out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"cannot publish {path}")
+    if fs.getUri().getScheme() == "file":
+        if not fs.rename(tmp, p):
+            raise OSError(f"cannot publish {path}")
+        return
+    rename = getattr(hadoop, "Options$Rename")
+    how = gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    hadoop.FileContext.getFileContext(p.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(tmp, p, how)
 
 
 def read_bytes(spark: SparkSession, path: str) -> bytes:
@@ -147,8 +158,9 @@ def balanced(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package: on a cluster its source goes out as a zip, once a session."""
-    if is_local(spark) or spark.conf.get("spark.siltbed.shipped", None):
+    """Let Python workers import this package, whatever their working directory: its source goes out as a zip, once a
+    session."""
+    if spark.conf.get("spark.siltbed.shipped", None):
         return
     here = os.path.dirname(os.path.abspath(__file__))
     buf = io.BytesIO()

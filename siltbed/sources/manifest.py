@@ -1,9 +1,10 @@
 """The manifest: a log of JSON lines with checksums, from which the state of the files is replayed.
 
 A line is a JSON object whose last field is checksum: the CRC32 of the same line with checksum 0. A line that is no
-JSON or whose checksum is wrong is skipped; checksum 0 or none means unchecked. Appends go to a side log first, then
-the manifest is replaced by rename; recovery applies a side log left by an interrupted append, falls back to the
-backup if the manifest has no valid line, and refreshes the backup otherwise.
+JSON or whose checksum is wrong is skipped; checksum 0 or none means unchecked. Appends go to a side log, which holds
+the lines since the last checkpoint (at most SIDE_LINES); a checkpoint replaces first the manifest, then the backup by
+all lines, and empties the side log last. So at any moment the manifest with the side log, and the backup with the
+side log, each are the whole state, and an append costs the same however long the manifest is.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ SCHEMA = (
     "compactionTask struct<upper_level:int, upper_ids:array<bigint>, lower_level:int, lower_ids:array<bigint>, bottom:boolean, output_ids:array<bigint>>, "
     "producedSsts array<bigint>, timestamp bigint, checksum bigint"
 )
+SIDE_LINES = 64
 _TAIL = r'"checksum":\s*\d+\s*\}\s*$'
 COMPACT_BYTES = 10 << 20
 
@@ -97,7 +99,8 @@ def memtables_to_replay(manifest: DataFrame) -> DataFrame:
 
 
 class ManifestFile:
-    """The manifest of one store, in a folder: MANIFEST, MANIFEST.bak and, during an append, MANIFEST.wal."""
+    """The manifest of one store, in a folder: MANIFEST, MANIFEST.bak and MANIFEST.wal, the lines since both were
+    written."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
@@ -119,35 +122,41 @@ class ManifestFile:
         return isinstance(rec, dict) and "type" in rec and (not rec.get("checksum") or line(rec) == text.strip())
 
     def recover(self) -> None:
-        lines = [x for x in self._read(self.main) if self._valid(x)]
-        pending = [x for x in self._read(self.side) if self._valid(x)]
-        lines += [x for x in pending if x not in lines]
-        if not lines:
-            lines = [x for x in self._read(self.backup) if self._valid(x)]
+        """All valid lines of the manifest, or of the backup where the manifest is lost or has none, then those of the
+        side log that aren't among them."""
+        lines: list[str] = []
+        for path in (self.main, self.backup):
+            lines = lines or [x for x in self._read(path) if self._valid(x)]
+        have = set(lines)
+        lines += [x for x in self._read(self.side) if x not in have and self._valid(x)]
         self.lines = lines
+        self.pending: list[str] = []
         if lines:
-            self._write(self.main)
-            self._write(self.backup)
-        if exists(self.spark, self.side):
-            remove(self.spark, self.side)
+            self.checkpoint()
 
-    def _write(self, path: str) -> None:
-        write_bytes(self.spark, path, ("\n".join(self.lines) + "\n").encode())
+    def _write(self, path: str, lines: list[str]) -> None:
+        write_bytes(self.spark, path, ("\n".join(lines) + "\n").encode())
+
+    def checkpoint(self) -> None:
+        """The order matters: until the backup is in place too, the side log must last."""
+        self._write(self.main, self.lines)
+        self._write(self.backup, self.lines)
+        remove(self.spark, self.side)
+        self.pending = []
 
     def append(self, record: dict) -> None:
         if self.closed:
             raise ValueError("the manifest is closed")
         text = line(record | {"timestamp": time.time_ns()})
-        write_bytes(self.spark, self.side, (text + "\n").encode())
+        self._write(self.side, [*self.pending, text])
+        self.pending.append(text)
         self.lines.append(text)
-        self._write(self.main)
-        remove(self.spark, self.side)
         self.bytes += len(text) + 1
-        if len(self.lines) % 64 == 0:
-            self._write(self.backup)
         if self.bytes > COMPACT_BYTES:
             self.compact()
             self.bytes = sum(len(x) + 1 for x in self.lines)
+        elif len(self.pending) >= SIDE_LINES:
+            self.checkpoint()
 
     def compact(self) -> int:
         """Rewrite the manifest without what later records made void; returns how many lines went.
@@ -189,9 +198,10 @@ class ManifestFile:
                 kept.append(line(new))
         gone = len(self.lines) - len(kept)
         if gone:
+            self.checkpoint()  # empties the side log, which would bring lines back
             self.lines = kept
-            self._write(self.main)
-            self._write(self.backup)
+            self._write(self.main, kept)
+            self._write(self.backup, kept)
         return gone
 
     def records(self) -> list[dict]:
