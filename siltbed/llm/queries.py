@@ -1,4 +1,5 @@
-"""The queries of the problems on texts, p6-p8. SQL can't express them; tests hold them against brute force."""
+"""The queries of the problems of training data, p2 and p6-p8, with SQL where it can express them; tests hold the others
+against brute force."""
 
 from __future__ import annotations
 
@@ -6,11 +7,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.llm.packing import pack
+from siltbed.llm.seen_keys import seen_before, wrong_answers
 from siltbed.llm.stuffing import measures, stuffed_pages
 from siltbed.llm.tokens import encode
 from siltbed.sources.tables import table
 
 
+def _records(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, str, str]:
+    return table(spark, d, "kv_log", "key", "log_id"), table(spark, d, "key_probe", "key", "probe_id"), "log_id", "probe_id"
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return seen_before(*_records(spark, d))
+
+
+def p2_wrong_rate(spark: SparkSession, d: str) -> DataFrame:
+    return wrong_answers(*_records(spark, d))
+
+
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct keys in the filters of each sealed batch."""
+    return wrong_answers(*_records(spark, d)).select("gen", "n_keys")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents", "doc_id", "text"))
 
@@ -33,5 +52,15 @@ def p8_curves(spark: SparkSession, d: str) -> DataFrame:
     return m.select(F.col("id").alias("doc_id"), "n", "like", "slope", "residual", "unexplained", "stuffed")
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p7_found, p7_containers, p8_found, p8_curves)}
-ORACLE: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p2_found, p2_wrong_rate, p2_batches, p6_ids, p7_found, p7_containers, p8_found, p8_curves)}
+_GEN = "CAST({base} + ({n} - min({n}) OVER ()) // greatest(1, (max({n}) OVER () - min({n}) OVER () + 4) // 4) AS INTEGER) AS gen"
+ORACLE: dict[str, str] = {
+    "p2_found": """
+SELECT p.probe_id FROM (
+  SELECT probe_id, key, min(probe_id) OVER (PARTITION BY key) AS first_id FROM key_probe WHERE key IS NOT NULL AND key <> '') p
+WHERE p.probe_id > p.first_id OR p.key IN (SELECT key FROM kv_log WHERE key IS NOT NULL AND key <> '')""",
+    "p2_batches": f"""
+SELECT gen, count(DISTINCT key) AS n_keys FROM (
+  SELECT key, {_GEN.format(base=0, n="log_id")} FROM kv_log WHERE key IS NOT NULL AND key <> ''
+  UNION ALL SELECT key, {_GEN.format(base=4, n="probe_id")} FROM key_probe WHERE key IS NOT NULL AND key <> '') t GROUP BY gen""",
+}
