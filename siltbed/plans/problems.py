@@ -1,4 +1,4 @@
-"""The queries of the general problems p1-p5, and their SQL."""
+"""The queries of the general problems p1 and p3-p5, and their SQL."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from siltbed.operators.change_store import apply_changes
 from siltbed.operators.consolidate import Consolidation
 from siltbed.operators.heavy_keys import aggregate_by_key, versions_not_rising
 from siltbed.operators.incremental import pending_changes
-from siltbed.operators.seen_keys import seen_before, wrong_answers
 from siltbed.sources.tables import table
 
 
@@ -24,14 +23,6 @@ def p1_state(spark: SparkSession, d: str) -> DataFrame:
     return state.select("key", F.coalesce("version", F.lit(-1)).alias("version"), "commit_ts", "mod_revision", "value")
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return seen_before(table(spark, d, "kv_log", "key", "log_id"), table(spark, d, "key_probe", "key", "probe_id"), "log_id", "probe_id")
-
-
-def p2_wrong_rate(spark: SparkSession, d: str) -> DataFrame:
-    return wrong_answers(table(spark, d, "kv_log", "key", "log_id"), table(spark, d, "key_probe", "key", "probe_id"), "log_id", "probe_id")
-
-
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pending_changes(table(spark, d, "kv_log", "key", "mod_revision", "memtable_id"), table(spark, d, "load_runs"))
 
@@ -73,7 +64,7 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p2_found, p2_wrong_rate, p3_found, p4_found, p4_outputs, p4_totals, p5_found, p5_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p3_found, p4_found, p4_outputs, p4_totals, p5_found, p5_totals)}
 
 _SMALL = """
 WITH made AS (
@@ -101,10 +92,6 @@ WHERE rn = 1 AND NOT coalesce(is_deleted, false)
 ORACLE = {
     "p1_found": _NEWEST.format(cols="key, mod_revision"),
     "p1_state": _NEWEST.format(cols="key, coalesce(version, -1) AS version, commit_ts, mod_revision, value"),
-    "p2_found": """
-SELECT p.probe_id FROM (
-  SELECT probe_id, key, min(probe_id) OVER (PARTITION BY key) AS first_id FROM key_probe WHERE key IS NOT NULL AND key <> '') p
-WHERE p.probe_id > p.first_id OR p.key IN (SELECT key FROM kv_log WHERE key IS NOT NULL AND key <> '')""",
     "p3_found": """
 WITH runs AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY reported_at DESC, report_id DESC) AS rn FROM load_runs) t

@@ -3,17 +3,14 @@
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from siltbed.functions import ribbon
 from siltbed.operators import consolidate
 from siltbed.operators.change_store import ChangeStore, apply_changes, newest
 from siltbed.operators.heavy_keys import aggregate_by_key, heavy_hitters, previous_by_key, versions_not_rising
 from siltbed.operators.incremental import IncrementalTable, covered_to, fingerprints, pending_changes
-from siltbed.operators.seen_keys import seen_before, wrong_answers
 
 CHANGES = "log_id bigint, key string, commit_ts bigint, mod_revision bigint, is_deleted boolean, value string"
 
@@ -123,38 +120,6 @@ def test_heavy_keys_edge(spark):
     assert [(r["prev"], r["slice"], r["bounds"]) for r in got] == [(None, 9, "b"), (5, 9, None)]
 
 
-def test_ribbon():
-    rng = np.random.default_rng(3)
-    for n in (0, 1, 2, 63, 64, 65, 5000):
-        h = rng.integers(-(2**63), 2**63 - 1, n)
-        f = ribbon.build(np.concatenate([h, h]), 10)
-        assert ribbon.probe(h, *f, 10).all()
-        other = rng.integers(-(2**63), 2**63 - 1, 50_000)
-        assert ribbon.probe(other, *f, 10).mean() < 3 * 2**-10
-
-
-def test_seen_keys(spark):
-    rng = random.Random(8)
-    hist = [(i, rng.choice([f"k{rng.randrange(200)}", "hot", "", None])) for i in range(500)]
-    recs = [(i * 3, rng.choice([f"k{rng.randrange(600)}", "hot", "new", f"k{rng.randrange(9)} ", "", None])) for i in range(700)]
-    old = {k for _, k in hist if k}
-    want, seen = set(), set(old)
-    for n, k in recs:
-        if k:
-            if k in seen:
-                want.add(n)
-            seen.add(k)
-    h = spark.createDataFrame(hist, "log_id bigint, key string")
-    r = spark.createDataFrame(rng.sample(recs, len(recs)), "probe_id bigint, key string")
-    for batches in ((1, 1), (4, 4), (3, 7)):
-        got = [x[0] for x in seen_before(h, r, "log_id", "probe_id", batches=batches).collect()]
-        assert len(got) == len(set(got)) and set(got) == want
-    rate = wrong_answers(h, r, "log_id", "probe_id").collect()
-    assert len(rate) == 8 and all(x["said_yes"] <= 5 and x["audited"] > 0 for x in rate)
-    assert seen_before(h.limit(0), r.limit(0), "log_id", "probe_id").count() == 0
-    assert {x[0] for x in seen_before(h.limit(0), r, "log_id", "probe_id").collect()} < want
-
-
 def test_covered(spark):
     rng = random.Random(4)
     ranges = [(a := rng.randrange(300), a + rng.choice([0, 1, 5, 200, -3]), rng.randrange(1000)) for _ in range(80)] + [(None, 5, 9999)]
