@@ -15,14 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltbed.session import broadcast_if_small, exists, hadoop_fs, read_bytes, remove, shared_path, write_bytes, written
+from siltbed.session import broadcast_if_small, exists, hadoop_fs, read_bytes, remove, shared_path, size_of, write_bytes, written
 from siltbed.sources.tables import has_key
 
 
 MARK = "__marker"
 #: The cover of the memtables is broadcast up to this size on disk, else joined by a shuffle.
 COVER_BYTES = 2 << 20
-PARTS = 500
+#: Fixed widths, in revisions, of a partition of the result and of a cell, the unit of the fingerprints inside it.
+SPAN, CELL = 1 << 17, 64
+#: Up to so many changed partitions are also given to the scan as ranges, so that it skips row groups.
+SCAN_PARTS, SCAN_RANGES = 1_000, 64
 
 
 def row_hash(*columns: str) -> Column:
@@ -86,12 +89,18 @@ class IncrementalTable:
         return both.filter(differ).select(F.coalesce(F.col(f"a.{self.part}"), F.col(f"b.{self.part}")).alias(self.part))
 
     def update(
-        self, source: DataFrame, compute: Callable[[DataFrame], DataFrame], prints: DataFrame | None = None
+        self,
+        source: DataFrame,
+        compute: Callable[[DataFrame], DataFrame],
+        prints: DataFrame | None = None,
+        ranged: tuple[str, int] | None = None,
     ) -> int:
         """Recompute the changed partitions; returns their number. compute must keep the column part.
 
-        prints are the fingerprints of source, where the caller has them already. A partition that is gone, or whose
-        result is now empty, loses its old rows. If nothing changed, nothing is written.
+        prints are the fingerprints of source, where the caller has them already. ranged, if part is a column of source
+        divided by a number and rounded down, is that column and number: then few changed partitions are read by
+        ranges of it. A partition that is gone, or whose result is now empty, loses its old rows. If nothing changed,
+        nothing is written.
         """
         made = shared_path(self.spark, "fingerprints")
         now = written(prints if prints is not None else fingerprints(source, self.part), made)
@@ -100,6 +109,8 @@ class IncrementalTable:
         n = changed.count()
         if n or not exists(self.spark, f"{self.path}/data"):
             few = broadcast_if_small(changed.withColumnRenamed(self.part, "__p"), listed)
+            if ranged and n <= SCAN_PARTS:
+                source = source.filter(_in_ranges(ranged, [r[0] for r in changed.collect()]))
             keep = source.join(few, F.col(self.part).eqNullSafe(F.col("__p")), "left_semi")
             marked = compute(keep).withColumn(MARK, F.lit(False)).unionByName(
                 changed.withColumn(MARK, F.lit(True)), allowMissingColumns=True
@@ -123,6 +134,20 @@ class IncrementalTable:
         return df.filter(~F.col(MARK)).drop(MARK)
 
 
+def _in_ranges(ranged: tuple[str, int], parts: list[int]) -> Column:
+    """A filter for the scan that holds for all rows of these partitions, and for few others: at most SCAN_RANGES
+    ranges, made by closing the smallest gaps. Rows without a value are let through."""
+    column, span = ranged
+    parts = sorted(parts)
+    gaps = sorted(range(1, len(parts)), key=lambda i: parts[i - 1] - parts[i])[: SCAN_RANGES - 1]
+    cuts = [0, *sorted(i for i in gaps if parts[i] > parts[i - 1] + 1), len(parts)]
+    cond = F.col(column).isNull()
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if a < b:
+            cond = cond | F.col(column).between(parts[a] * span, (parts[b - 1] + 1) * span - 1)
+    return cond
+
+
 def outcomes(reports: DataFrame) -> DataFrame:
     """One row a run: its last report by reported_at (equal times: the greater report_id). Null run_id is no run."""
     last = reports.filter("run_id is not null").groupBy("run_id").agg(
@@ -169,49 +194,60 @@ def covered_to(points: DataFrame, point: str, ranges: DataFrame, first: str, las
     return at.select(point, "b.*").join(cut, ["size", "block"]).groupBy(point).agg(F.max("v").alias("upto"))
 
 
-def pending_changes(log: DataFrame, reports: DataFrame, span: int | None = None) -> DataFrame:
+def pending_changes(log: DataFrame, reports: DataFrame, span: int = SPAN, cell: int = CELL, path: str | None = None) -> DataFrame:
     """The changes (key, mod_revision) of which no row was processed by a run that succeeded, each once.
 
-    The log is partitioned by ranges of span memtables (by default so many that there are PARTS partitions at most; a
-    table that is kept from run to run fixes its span). What the runs left behind is the recorded state: the
-    fingerprint of a partition's processed rows. Where it equals the fingerprint of all rows of the partition nothing
-    is new there; the other partitions are recomputed and replaced by dynamic overwrite. Late repeats of a change lie
-    in other partitions than the change itself, so at the end the changes with a processed row anywhere are taken out.
+    Partitions are ranges of span revisions, cut into cells of cell revisions: all deliveries of a change, late repeats
+    too, lie in one cell, so cells can be judged one by one. Each cell has two fingerprints, of all its rows and of those
+    that successful runs processed. Where they are equal nothing is pending, and its rows are read no further; only
+    rows of the other cells are shuffled and grouped by change. Partitions are replaced by dynamic overwrite, and
+    their fingerprints recorded after.
+
+    path is a folder that is kept from run to run: then a run touches only partitions in which, since the last run, rows
+    were added or became processed (span and cell must stay the same). Without it every partition is new.
+
     Rows with a null or empty key are left out; a row without memtable or revision was processed by no run.
     """
+    return pending_table(log, reports, span, cell, path)[0].read().select("key", "mod_revision")
+
+
+def pending_table(log: DataFrame, reports: DataFrame, span: int = SPAN, cell: int = CELL, path: str | None = None) -> tuple[IncrementalTable, int]:
+    """The table behind pending_changes after this run, and how many partitions the run replaced."""
     spark = log.sparkSession
     base = shared_path(spark, "incremental")
     done = outcomes(reports).filter("status = 'succeeded'")
     rows = log.filter(has_key()).select("key", "mod_revision", "memtable_id")
-    if span is None:
-        lo, hi = log.agg(F.min("memtable_id"), F.max("memtable_id")).first()
-        span = max(512, -(-((hi or 0) - (lo or 0) + 1) // PARTS))
     cover = written(
         covered_to(rows, "memtable_id", done, "first_memtable_id", "last_memtable_id", "to_revision"), f"{base}/cover"
     )
-    flagged = written(
-        rows.join(broadcast_if_small(cover, f"{base}/cover", COVER_BYTES), "memtable_id", "left").select(
-            "key",
-            "mod_revision",
-            F.floor(F.col("memtable_id") / span).cast("int").alias("part"),
-            F.coalesce(F.col("mod_revision") <= F.col("upto"), F.lit(False)).alias("processed"),
-        ),
-        f"{base}/rows",
+    number = lambda width: F.coalesce(F.floor(F.col("mod_revision") / width), F.lit(-1)).cast("bigint")
+    flagged = rows.join(broadcast_if_small(cover, f"{base}/cover", COVER_BYTES), "memtable_id", "left").select(
+        "key",
+        "mod_revision",
+        number(span).alias("part"),
+        number(cell).alias("cell"),
+        F.coalesce(F.col("mod_revision") <= F.col("upto"), F.lit(False)).alias("processed"),
     )
+    if size_of(spark, f"{base}/cover") > COVER_BYTES:
+        flagged = written(flagged, f"{base}/rows")  # a shuffled join is made once; a broadcast one costs less than a copy
     h = row_hash("key", "mod_revision")
-    both = flagged.groupBy("part").agg(
-        F.count(F.lit(1)).alias("n"),
-        additive(h).alias("h"),
-        F.count_if("processed").alias("n_done"),
-        F.sum(F.when(F.col("processed"), h.cast("decimal(20,0)"))).alias("h_done"),
-    )
-    both = written(both, f"{base}/prints")
-    table = IncrementalTable(spark, f"{base}/pending", "part")
-    table.record(both.filter("n_done > 0").select("part", F.col("n_done").alias("n"), F.col("h_done").alias("h")))
-    table.update(
-        flagged,
-        lambda part_rows: part_rows.filter(~F.col("processed")).select("key", "mod_revision", "part").distinct(),
-        both.select("part", "n", "h"),
+    cells = written(
+        flagged.groupBy("part", "cell").agg(
+            F.count(F.lit(1)).alias("n"),
+            additive(h).alias("h"),
+            F.count_if("processed").alias("n_done"),
+            F.coalesce(additive(F.when(F.col("processed"), h)), F.lit(0)).alias("h_done"),
+            additive(row_hash("key", "mod_revision", "processed")).alias("state"),
+        ),
+        f"{base}/cells",
     )
-    seen = flagged.filter("processed").select("key", "mod_revision")
-    return table.read().select("key", "mod_revision").distinct().join(seen, ["key", "mod_revision"], "left_anti")
+    open_ = written(cells.filter("n <> n_done or h <> h_done").select("cell"), f"{base}/open")
+
+    def recompute(part_rows: DataFrame) -> DataFrame:
+        todo = part_rows.join(broadcast_if_small(open_, f"{base}/open"), "cell", "left_semi")
+        each = todo.groupBy("part", "key", "mod_revision").agg(F.max("processed").alias("processed"))
+        return each.filter(~F.col("processed")).select("key", "mod_revision", "part")
+
+    table = IncrementalTable(spark, path or f"{base}/pending", "part")
+    prints = cells.groupBy("part").agg(F.sum("n").alias("n"), F.sum("state").alias("h"))
+    return table, table.update(flagged, recompute, prints, ("mod_revision", span))

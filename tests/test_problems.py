@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from siltbed.operators import consolidate
+from siltbed.operators import consolidate, incremental
 from siltbed.operators.change_store import ChangeStore, apply_changes, newest
 from siltbed.operators.heavy_keys import aggregate_by_key, heavy_hitters, previous_by_key, versions_not_rising
 from siltbed.operators.incremental import IncrementalTable, covered_to, fingerprints, pending_changes
@@ -154,6 +154,42 @@ def test_pending(spark):
     assert pending_changes(df.limit(0), r).count() == 0
 
 
+def test_pending_from_run_to_run(spark, tmp_path):
+    """A second run replaces only partitions that changed, a run that dies before it recorded is repeated."""
+    r = lambda *runs: spark.createDataFrame(
+        [(i, i, a, b, to, "succeeded", i) for i, (a, b, to) in enumerate(runs)],
+        "report_id bigint, run_id bigint, first_memtable_id bigint, last_memtable_id bigint, to_revision bigint, status string, reported_at int",
+    )
+    s = "key string, mod_revision bigint, memtable_id bigint"
+    log = [(f"k{m % 7}", m, m // 10) for m in range(400)]
+    path = f"file://{tmp_path}/pending"
+    run = lambda rows, reports: incremental.pending_table(spark.createDataFrame(rows, s), reports, 100, 10, path)
+    got = lambda t: sorted((tuple(x) for x in t.read().select("key", "mod_revision").collect()), key=lambda x: (x[0], x[1] or 0))
+    t, n = run(log, r((0, 29, 1000)))
+    assert n == 4 and got(t) == sorted(x[:2] for x in log if x[1] >= 300)
+    assert run(log, r((0, 29, 1000)))[1] == 0
+    t, n = run(log, r((0, 29, 1000), (30, 34, 1000)))
+    assert n == 1 and got(t) == sorted(x[:2] for x in log if x[1] >= 350)
+    late = [*log, ("k0", 0, 39), ("new", 120, 39), ("k0", None, 1)]  # a repeat of a processed change, and two new ones
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(incremental.IncrementalTable, "record", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            run(late, r((0, 34, 1000)))
+    t, n = run(late, r((0, 34, 1000)))
+    assert n == 3 and got(t) == sorted([*[x[:2] for x in log if x[1] >= 350], ("new", 120), ("k0", None)], key=lambda x: (x[0], x[1] or 0))
+
+
+def test_ranges_for_the_scan(spark):
+    df = spark.range(0, 10_000).withColumnRenamed("id", "c")
+    for parts in ([0], [1, 2, 3, 50, 51, 99], list(range(0, 100, 2)), list(range(0, 1000, 7))):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(incremental, "SCAN_RANGES", 5)
+            kept = {r[0] for r in df.filter(incremental._in_ranges(("c", 10), parts)).collect()}
+        assert {c for c in range(10_000) if c // 10 in set(parts)} <= kept
+        if len(parts) < 7:
+            assert len(kept) == 10 * len(parts)
+
+
 def test_incremental_table(spark, tmp_path):
     t = IncrementalTable(spark, f"file://{tmp_path}/inc", "part")
     make = lambda rows: spark.createDataFrame(rows, "part int, v string")
