@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltbed.operators.change_store import apply_changes
@@ -33,11 +33,17 @@ def _consolidation(spark: SparkSession, d: str) -> Consolidation:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _consolidation(spark, d).files()
+    """The consolidated files and the rest of the plan, which has no records to merge."""
+    return _consolidation(spark, d).files().select("sst_id")
+
+
+def p4_files(spark: SparkSession, d: str) -> DataFrame:
+    """How many records of each planned file lie in the outputs."""
+    return _consolidation(spark, d).files().select("sst_id", "records", "merged")
 
 
 def p4_outputs(spark: SparkSession, d: str) -> DataFrame:
-    return _consolidation(spark, d).outputs
+    return _consolidation(spark, d).outputs.drop("file", "sources")
 
 
 def p4_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +51,18 @@ def p4_totals(spark: SparkSession, d: str) -> DataFrame:
     return _consolidation(spark, d).outputs.agg(F.sum("records").alias("records"), F.sum("bytes").alias("bytes"))
 
 
+def p4_ranges(spark: SparkSession, d: str) -> DataFrame:
+    """Outputs of 256 KiB: how many are larger by more than a record may be, and how many meet the one before."""
+    log = table(spark, d, "kv_log", "log_id", "key", "version", "commit_ts", "value", "mod_revision", "is_deleted", "memtable_id")
+    o = Consolidation(table(spark, d, "manifest"), table(spark, d, "sst_files"), log, target=256 << 10).outputs
+    before = F.lag("last_key").over(Window.orderBy("output"))  # one row an output
+    return o.withColumn("before", before).agg(
+        F.sum("records").alias("records"),
+        F.count_if(F.col("bytes") > (320 << 10)).alias("too_large"),
+        F.count_if(F.col("first_key") < F.col("before")).alias("overlaps"),
+    )
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return versions_not_rising(table(spark, d, "kv_log", "key", "version", "commit_ts", "mod_revision"))
 
@@ -64,7 +82,7 @@ def p5_totals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_state, p3_found, p4_found, p4_outputs, p4_totals, p5_found, p5_totals)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_state, p3_found, p4_found, p4_files, p4_outputs, p4_ranges, p4_totals, p5_found, p5_totals)}
 
 _SMALL = """
 WITH made AS (
@@ -105,6 +123,12 @@ GROUP BY 1, 2 HAVING max(CASE WHEN mod_revision <= upto THEN 1 ELSE 0 END) = 0""
     "p4_totals": _SMALL
     + """SELECT count(*) AS records,
   CAST(sum(coalesce(octet_length(encode(key)), 0) + coalesce(octet_length(encode(value)), 0) + 22) AS BIGINT) AS bytes
+FROM kv_log WHERE memtable_id IN (SELECT sst_id FROM small) AND key IS NOT NULL AND key <> ''""",
+    "p4_files": _SMALL
+    + """SELECT sst_id, count(key) AS records, count(key) > 0 AS merged
+FROM small LEFT JOIN (SELECT memtable_id, key FROM kv_log WHERE key <> '') k ON memtable_id = sst_id GROUP BY sst_id""",
+    "p4_ranges": _SMALL
+    + """SELECT count(*) AS records, CAST(0 AS BIGINT) AS too_large, CAST(0 AS BIGINT) AS overlaps
 FROM kv_log WHERE memtable_id IN (SELECT sst_id FROM small) AND key IS NOT NULL AND key <> ''""",
     "p5_found": """
 WITH c AS (SELECT DISTINCT key, mod_revision, commit_ts, version FROM kv_log WHERE version IS NOT NULL AND key IS NOT NULL AND key <> '')

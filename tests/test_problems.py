@@ -3,6 +3,7 @@
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -238,6 +239,31 @@ def test_files_in_use(spark):
     assert consolidate.undersized(m.limit(0), f).count() == 0 and consolidate.undersized(m, f.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kept", [7, 50, 10**6])
+def test_merged_order(kept, monkeypatch):
+    """The heap merge against a sort, with nulls, ties and runs of any length."""
+    monkeypatch.setattr(consolidate, "KEPT_KEYS", kept)
+    for seed in range(30):
+        rng = random.Random(seed)
+        rows = []
+        for _ in range(rng.randrange(6)):
+            run = [(rng.choice(["", "a", "ä", "b", "zz", *([None] if seed % 2 else [])]), rng.randrange(5)) for _ in range(rng.randrange(1, 60))]
+            rows += sorted(run, key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+        got = consolidate.merged_order([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())])
+        assert sorted(got.tolist()) == list(range(len(rows)))
+        order = [((rows[i][0] is not None, (rows[i][0] or "").encode()), rows[i][1]) for i in got]
+        assert order == sorted(order)
+
+
+def test_lost_attempts_leave_no_files(spark, tmp_path):
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "key string, memtable_id bigint").withColumn("value", F.lit(None).cast("string"))
+    out = consolidate.merge_runs(df, ["key"], consolidate.entry_bytes(), 300, f"file://{tmp_path}/o", "memtable_id")
+    (tmp_path / "o" / "0-lost.parquet").write_bytes(b"")
+    consolidate._drop_orphans(out, f"file://{tmp_path}/o")
+    assert {r["file"] for r in out.collect()} == {f.name for f in (tmp_path / "o").glob("*.parquet")}
+    assert sorted(s["source"] for r in out.collect() for s in r["sources"]) == list(range(50))
+
+
 @pytest.mark.parametrize("target", [200, 5_000, 10**9])
 def test_merge_runs(spark, tmp_path, target):
     rng = random.Random(target)
