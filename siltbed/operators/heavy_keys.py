@@ -1,7 +1,8 @@
 """Ordered results per key where a few keys hold most rows.
 
 1. A frequent-items sketch over the key column (one pass, mergeable, fixed size) names the keys that may hold more
-   than 1/heavy_share of the rows. There can be few of them, whatever the data: at most TOP.
+   rows than a slice and more than 1/heavy_share of all rows. The second condition bounds their number by TOP, whatever
+   the data; what remains light is then less than a task's share of the rows.
 2. Rows of heavy keys are found by a broadcast join with that list and cut, key by key, into slices by ranges of the
    first order column; the bounds of the slices come from a quantile sketch.
 3. Heavy rows are shuffled by (key, slice), the remaining rows by key: no task gets more than a slice or an ordinary
@@ -22,14 +23,17 @@ from pyspark.sql import functions as F
 from siltbed.sources.tables import has_key
 
 #: Fixed size of the frequent-items sketch, and of the list it gives: the proven bound of what is broadcast.
-TRACKED = 20_000
-TOP = 1_000
-#: Slices of all heavy keys together, and how many bounds are searched at once.
-SLICES, GROUP = 4_096, 64
+TRACKED = 50_000
+TOP = 2_500
+#: Slices of all heavy keys together, and how many bounds are searched at once. A slice is larger than asked for only
+#: where it is less than 1/SLICES of all heavy rows.
+SLICES, GROUP = 16_384, 128
+SLICE_ROWS = 20_000
 
 
-def heavy_hitters(df: DataFrame, key: str, heavy_share: int) -> list[tuple[str, int]]:
-    """(key, estimated rows) of the keys that may hold more than 1/heavy_share of the rows; at most TOP of them.
+def heavy_hitters(df: DataFrame, key: str, heavy_share: int, rows: int = 0) -> list[tuple[str, int]]:
+    """(key, estimated rows) of the keys that may hold more than 1/heavy_share of the rows, and more than rows; at most
+    TOP of them.
 
     The sketch's error is at most 3.5 / TRACKED of the rows, far below the share asked for. Null is no key.
     """
@@ -38,7 +42,7 @@ def heavy_hitters(df: DataFrame, key: str, heavy_share: int) -> list[tuple[str,
         .agg(F.expr(f"approx_top_k(k, {TOP}, {TRACKED})").alias("top"), F.count("k").alias("n"))
         .first()
     )
-    return [(r["item"], r["count"]) for r in top["top"] or [] if r["item"] is not None and r["count"] * heavy_share > top["n"]]
+    return [(r["item"], r["count"]) for r in top["top"] or [] if r["item"] is not None and r["count"] > rows and r["count"] * heavy_share > top["n"]]
 
 
 def slices(df: DataFrame, key: str, by: str, heavy: list[tuple[str, int]], target: int) -> DataFrame | None:
@@ -58,8 +62,8 @@ def slices(df: DataFrame, key: str, by: str, heavy: list[tuple[str, int]], targe
         rows = (
             df.join(F.broadcast(names), F.col(f"`{key}`") == F.col("__hk"))
             .groupBy("__hk")
-            .agg(F.percentile_approx(by, points, 10_000).alias("bounds"))
-            .collect()  # at most TOP keys with `most` bounds each
+            .agg(F.percentile_approx(by, points, max(10_000, 4 * most)).alias("bounds"))
+            .collect()  # at most SLICES bounds of TOP keys remain of it
         )
         found = {r["__hk"]: _thinned(r["bounds"] or [], parts[r["__hk"]]) for r in rows}
     grouped = [(k, [b[i : i + GROUP] for i in range(0, len(b), GROUP)]) for k in parts for b in [found.get(k, [])]]
@@ -84,8 +88,8 @@ def previous_by_key(
     key: str,
     order: list[str],
     carry: str,
-    heavy_share: int = 50,
-    slice_rows: int = 250_000,
+    heavy_share: int = TOP,
+    slice_rows: int = SLICE_ROWS,
     prev: str = "prev",
 ) -> DataFrame:
     """The rows of df, each once, with the column prev: the value of carry in the row before, by the order columns,
@@ -93,14 +97,14 @@ def previous_by_key(
 
     Rows equal in key and order columns are repeats of one row; the one with the greatest carry stays. prev is null in
     the first row of a key. Rows with a null or empty key are left out. Nulls in order columns come first; a carry
-    that is null counts as a value: prev is then null. The first order column must be a whole number. heavy_share: a
-    key with more than 1/heavy_share of the rows is heavy. slice_rows: rows of a slice, the most that one task gets of
-    a heavy key (but for rows equal in the first order column, which stay together). A column of df named like prev
+    that is null counts as a value: prev is then null. The first order column must be a whole number. A key with
+    more than slice_rows rows is heavy if that is more than 1/heavy_share of all. slice_rows: rows of a slice, the most
+    that one task gets of a heavy key (but for rows equal in the first order column, which stay together). A column of df named like prev
     is replaced; all others are kept.
     """
     df = df.filter(has_key(f"`{key}`"))
     columns = [c for c in df.columns if c != prev]
-    heavy = heavy_hitters(df, key, heavy_share)
+    heavy = heavy_hitters(df, key, heavy_share, slice_rows)
     parts = slices(df, key, order[0], heavy, slice_rows)
     k = F.col(f"`{key}`")
 
