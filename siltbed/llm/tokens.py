@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltbed.session import balanced, ship
+from siltbed.session import balanced, shared_path, ship, written
 
 DIRECTORY = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k"
@@ -84,7 +84,7 @@ def encoder(directory: str = DIRECTORY, vocabulary: str = VOCABULARY) -> Encoder
 
 
 def _kind(c: str) -> str:
-    if c.isspace():
+    if c.isspace() and not "\x1c" <= c <= "\x1f":  # Python's white space has four separators more than the pattern's
         return "space"
     k = unicodedata.category(c)
     return {"L": "letter", "N": "digit"}.get(k[0], "unknown" if k == "Cn" else "mark")
@@ -196,12 +196,14 @@ def encode(
         import pyarrow as pa
 
         for b in batches:
-            for r, t in zip(b.column("__row").to_pylist(), b.column("__text").to_pylist(), strict=True):
-                leaves = [t[k : k + leaf] for k in range(0, len(t), leaf)]
-                for k in range(0, len(leaves), 64):
-                    some = leaves[k : k + 64]
-                    yield pa.RecordBatch.from_pydict(
-                        {"__row": pa.array([r] * len(some), pa.int64()), "leaf": pa.array(range(k, k + len(some)), pa.int32()), "piece": some}
+            for at, (r, t) in enumerate(zip(b.column("__row").to_pylist(), b.column("__text").to_pylist(), strict=True)):
+                pieces = [t[k : k + leaf] for k in range(0, len(t), leaf)]
+                for k in range(0, len(pieces), 64):
+                    some = pieces[k : k + 64]
+                    ids = b.column("__id").take(pa.array([at] * len(some)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([r] * len(some), pa.int64()), ids, pa.array(range(k, k + len(some)), pa.int32()), pa.array(some, pa.string())],
+                        names=["__row", "__id", "leaf", "piece"],
                     )
 
     def leaves(batches: Iterator) -> Iterator:
@@ -210,7 +212,7 @@ def encode(
         enc = encoder(directory, vocabulary)
         for b in _chunks(batches, "piece"):
             ids = _lists([enc.raw(t) for t in b.column("piece").to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column("__row"), b.column("leaf"), ids], names=["__row", "leaf", "ids"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("__row", "__id", "leaf")], ids], names=["__row", "__id", "leaf", "ids"])
 
     def tree(group):
         import pyarrow as pa
@@ -220,18 +222,16 @@ def encode(
         parts = [x.values.to_numpy() for x in group.column("ids")]
         done = concatenate(enc, parts).astype("<i4").tobytes()
         last = pa.array([len(done) // 4], pa.int32()) if count_only else _lists([done])
-        return pa.table({"__row": group.column("__row")[:1], "n" if count_only else "ids": last})
+        return pa.table({id_col: group.column("__id")[:1].combine_chunks(), "n" if count_only else "ids": last})
 
     short = balanced(base.filter(F.col("__text").isNull() | (F.length("__text") <= leaf))).mapInArrow(whole, out)
-    # The row number is the same whenever the scan is repeated; it keeps rows of the same id apart.
-    long_ = base.withColumn("__row", F.monotonically_increasing_id()).filter(F.length("__text") > leaf)
+    # The leaves are written with the number of their row, which so is given once, and keeps rows of one id apart.
+    numbered = base.filter(F.length("__text") > leaf).withColumn("__row", F.monotonically_increasing_id())
+    pieces = written(numbered.mapInArrow(cut, f"__row bigint, __id {kind}, leaf int, piece string"), shared_path(docs.sparkSession, "leaves"))
     joined = (
-        long_.select("__row", "__text")
-        .mapInArrow(cut, "__row bigint, leaf int, piece string")
-        .repartition("__row", "leaf")
-        .mapInArrow(leaves, "__row bigint, leaf int, ids array<int>")
+        pieces.repartition("__row", "leaf")
+        .mapInArrow(leaves, f"__row bigint, __id {kind}, leaf int, ids array<int>")
         .groupBy("__row")
-        .applyInArrow(tree, "__row bigint, " + ("n int" if count_only else "ids array<int>"))
+        .applyInArrow(tree, out)
     )
-    named = long_.select("__row", F.col("__id").alias(id_col)).join(joined, "__row").drop("__row")
-    return short.unionByName(named)
+    return short.unionByName(joined)

@@ -37,6 +37,16 @@ def test_any_text(text, leaf):
     assert tokens.concatenate(enc, leaves).tolist() == enc.plain(text) == enc.ids(text).tolist()
 
 
+def test_separators_that_are_no_white_space_here():
+    enc = tokens.encoder()
+    rng = random.Random(5)
+    some = ["a", "b", "'s", "1", "!", " ", "  ", "\n", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\u2028", " cat"]
+    for _ in range(20_000):
+        text = "".join(rng.choice(some) * rng.choice([1, 1, 2, 9]) for _ in range(rng.randrange(4, 30)))
+        leaves = [enc.ids(text[i : i + 8]) for i in range(0, len(text), 8)]
+        assert tokens.concatenate(enc, leaves).tolist() == enc.plain(text)
+
+
 def test_same_as_other_library(enc):
     tokenizers = pytest.importorskip("tokenizers")
     t = tokenizers.Tokenizer.from_file(f"{tokens.DIRECTORY}/byte_bpe_50k.json")
