@@ -2,12 +2,15 @@
 
 Items are spread by hash into blocks of about BLOCK items. Each block is solved by several islands, each a Spark group
 with its own seed: the islands' populations start from best-fit packings in different orders; crossover injects a few
-well-filled containers of one parent into another, dissolves the containers that held the same items, and best-fits
-the displaced items. After each round the elites of an island migrate to the next one of the same block. The best
-packing of a block counts; containers filled less than FULL are opened again and their items packed in the next level,
-with the same algorithm, until one block is left: so a block's remainder isn't lost room.
+well-filled containers of one parent into another, dissolves the containers that held the same items, exchanges the
+displaced items into better fillings and best-fits the rest. After each round the elites of an island migrate to the
+next one of the same block. The best packing of a block counts. Then each block's emptiest containers are opened again,
+as far as they are filled less than FULL and hold up to half of the block's items, and their items are packed in the
+next level, with the same algorithm, until one block is left: so a block's remainder isn't lost room, and all levels
+together are at most twice the work of the first.
 
-A block is given up to evolution only while it uses more containers than its sum of sizes needs at least.
+A block is given up to evolution only while it uses more containers than its sum of sizes, or its items above half a
+container, need at least.
 
 Only an item larger than the capacity is divided: into full containers and one remainder, which is an item like any
 other. Every item is placed, also one of size 0; a null size counts as 0, a negative one is an error.
@@ -15,11 +18,11 @@ other. Every item is placed, also one of size 0; a null size counts as 0, a nega
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.session import shared_path, ship, written
@@ -27,15 +30,15 @@ from siltbed.session import shared_path, ship, written
 CAPACITY = 8_192
 BLOCK = 2_000
 ISLANDS = 2
-ROUNDS = 2
+ROUNDS = 4
 GENERATIONS = 40
 POPULATION = 6
 ELITES = 2
+TRIED = 24  #: displaced items that are tried in exchanges, with their pairs
 FULL = 0.985
-LEVELS = 6
 TASK_GROUPS = 16
 
-_STATE = "block bigint, island int, ids array<bigint>, pieces array<int>, sizes array<int>, elites array<array<int>>, used int, score double"
+_STATE = "block bigint, island int, ids array<bigint>, pieces array<int>, sizes array<int>, elites array<array<int>>, used int, score double, least int, children int"
 
 
 def best_fit(sizes: np.ndarray, items: np.ndarray, assign: np.ndarray, room: list[tuple[int, int]], capacity: int, opened: int) -> int:
@@ -63,31 +66,80 @@ def _compact(assign: np.ndarray) -> np.ndarray:
     return np.unique(assign, return_inverse=True)[1].astype(np.int32)
 
 
+def exchange(sizes: list[int], bins: list[list[int]], rooms: list[int], displaced: list[int], rng: np.random.Generator) -> list[int]:
+    """Fill containers better by exchange: for each container in random order, none, one or two of its items go out and
+    one or two displaced ones of a larger sum, that still fits, come in; the best such exchange is made. Returns what is
+    displaced in the end: as many or fewer items, of a smaller sum. bins and rooms are changed."""
+    tried, rest = displaced[:TRIED], displaced[TRIED:]
+
+    def sums():
+        one = [(sizes[k], (k,)) for k in tried]
+        two = [(sizes[k] + sizes[m], (k, m)) for i, k in enumerate(tried) for m in tried[:i]]
+        both = sorted(one + two)
+        return [x[0] for x in both], both
+
+    values, choices = sums()
+    for c in rng.permutation(len(bins)).tolist():
+        if not tried:
+            break
+        room, have = rooms[c], bins[c]
+        if room <= 0 or not have:
+            continue
+        some = have if len(have) <= 6 else [have[i] for i in rng.choice(len(have), 6, replace=False).tolist()]
+        gain, best = 0, None
+        for out in [(), *((k,) for k in some), *((k, m) for i, k in enumerate(some) for m in some[:i])]:
+            s = sum(sizes[k] for k in out)
+            at = bisect_right(values, s + room) - 1
+            if at >= 0 and values[at] - s > gain:
+                gain, best = values[at] - s, (out, choices[at][1])
+        if best:
+            out, come = best
+            bins[c] = [k for k in have if k not in out] + list(come)
+            rooms[c] = room - gain
+            tried = [k for k in tried if k not in come] + list(out)
+            values, choices = sums()
+    return tried + rest
+
+
 def crossover(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
-    """A child of a with a few of the best of b's containers injected."""
+    """A child of a with a few of the best of b's containers injected: the containers of a that held the same items are
+    dissolved, and so are a few of its emptiest ones; what they displace is exchanged into better fillings, and the
+    rest put in by best fit."""
     fill = np.bincount(b, weights=sizes)
     tried = rng.choice(len(fill), size=min(len(fill), 12), replace=False)
     take = tried[np.argsort(-fill[tried], kind="stable")][: int(rng.integers(1, 5))]
     injected = np.isin(b, take)
-    broken = np.unique(a[injected])
-    child = a.astype(np.int64)
-    displaced = np.isin(a, broken) & ~injected
-    top = int(a.max()) + 1
-    child[injected] = top + np.searchsorted(np.sort(take), b[injected])
-    child[displaced] = -1
-    now = np.bincount(child[~displaced], weights=sizes[~displaced], minlength=top + len(take)).astype(np.int64)
-    live = np.bincount(child[~displaced], minlength=len(now)) > 0
-    room = sorted((capacity - int(now[c]), int(c)) for c in np.flatnonzero(live))
-    items = np.flatnonzero(displaced)
-    items = items[np.argsort(-sizes[items], kind="stable")]
-    best_fit(sizes, items, child, room, capacity, len(now))
+    own = np.bincount(a, weights=sizes)
+    worst = np.argsort(own + rng.random(len(own)) * capacity * 0.2, kind="stable")[: int(rng.integers(1, 4))]
+    broken = np.union1d(np.unique(a[injected]), worst)
+    free = np.isin(a, broken) & ~injected
+    label = np.where(injected, len(own) + np.searchsorted(np.sort(take), b), a)
+    kept = np.flatnonzero(~free)
+    names, at = np.unique(label[kept], return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    bins = [x.tolist() for x in np.split(kept[order], np.cumsum(np.bincount(at, minlength=len(names)))[:-1])] if len(kept) else []
+    plain = sizes.tolist()
+    rooms = [capacity - sum(plain[k] for k in x) for x in bins]
+    left = np.array(exchange(plain, bins, rooms, rng.permutation(np.flatnonzero(free)).tolist(), rng), np.int64)
+    child = np.empty(len(sizes), np.int64)
+    for c, x in enumerate(bins):
+        child[x] = c
+    best_fit(sizes, left[np.argsort(-sizes[left], kind="stable")], child, sorted((r, c) for c, r in enumerate(rooms)), capacity, len(bins))
     return _compact(child)
 
 
-def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, generations: int, seed: int) -> list[np.ndarray]:
-    """The population after some generations, best first. Ends early once the least possible number is reached."""
+def least_containers(sizes: np.ndarray, capacity: int) -> int:
+    """No packing has fewer: two items above half a container never share one."""
+    return max(1, -(-int(sizes.sum()) // capacity), int((sizes * 2 > capacity).sum()))
+
+
+def evolve(
+    sizes: np.ndarray, population: list[np.ndarray], capacity: int, generations: int, seed: int, made: list[int] | None = None
+) -> list[np.ndarray]:
+    """The population after some generations, best first. Ends early once the least possible number is reached. made
+    gets the number of containers of each child."""
     rng = np.random.default_rng(seed)
-    least = max(1, -(-int(sizes.sum()) // capacity), int((sizes * 2 > capacity).sum()))  # two halves never share
+    least = least_containers(sizes, capacity)
     while len(population) < POPULATION:
         order = np.argsort(-sizes * (1 + 0.15 * (len(population) > 0) * rng.random(len(sizes))), kind="stable")
         assign = np.empty(len(sizes), np.int64)
@@ -98,32 +150,40 @@ def evolve(sizes: np.ndarray, population: list[np.ndarray], capacity: int, gener
     rank = lambda x: (-score(sizes, x, capacity)[0], score(sizes, x, capacity)[1])
     ranked = sorted(((rank(x), i, x) for i, x in enumerate(population)), key=lambda t: (t[0], -t[1]), reverse=True)
     for g in range(generations):
-        if -ranked[0][0][0] <= least:
+        if -ranked[0][0][0] <= least or len(ranked) < 2:
             break
-        i, j = sorted(rng.choice(len(ranked), 2, replace=False))
+        i, j = rng.choice(len(ranked), 2, replace=False)
         child = crossover(ranked[i][2], ranked[j][2], sizes, capacity, rng)
-        ranked.append((rank(child), POPULATION + g, child))
+        mark = rank(child)
+        if made is not None:
+            made.append(-mark[0])
+        if any(mark == r for r, _, _ in ranked):
+            continue  # as good as one that is there, so most likely its copy: copies would fill the population
+        ranked.append((mark, POPULATION + g, child))
         ranked.sort(key=lambda t: (t[0], -t[1]), reverse=True)
         ranked = ranked[:POPULATION]
     return [x for _, _, x in ranked]
 
 
-def _pack_blocks(items: DataFrame, capacity: int, blocks: int, base: str) -> DataFrame:
+def _pack_blocks(items: DataFrame, capacity: int, blocks: int, base: str, report: list[dict]) -> DataFrame:
     """items: item bigint, piece int, size int. Returns these with block and bin: the best island's packing of each
-    block."""
+    block. report gets a row for each round."""
 
     def found(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("item")
         block, island = int(pdf["block"].iat[0]), int(pdf["island"].iat[0])
         sizes = pdf["size"].to_numpy(np.int64)
-        return _row(block, island, pdf["item"].to_numpy(), pdf["piece"].to_numpy(), sizes, evolve(sizes, [], capacity, GENERATIONS, seed=1 + block * 1009 + island))
+        return _row(block, island, pdf["item"].to_numpy(), pdf["piece"].to_numpy(), sizes, [], 1 + block * 1009 + island)
 
-    def _row(block, island, ids, pieces, sizes, population):
+    def _row(block, island, ids, pieces, sizes, start, seed):
+        made: list[int] = []
+        population = evolve(sizes, start, capacity, GENERATIONS, seed, made)
         used, s = score(sizes, population[0], capacity)
         return pd.DataFrame(
             {
                 "block": [block], "island": [island], "ids": [ids], "pieces": [pieces], "sizes": [sizes.astype(np.int32)],
                 "elites": [[x.astype(np.int32) for x in population[:ELITES]]], "used": [used], "score": [s],
+                "least": [least_containers(sizes, capacity)], "children": [len(made)],
             }
         )
 
@@ -132,8 +192,8 @@ def _pack_blocks(items: DataFrame, capacity: int, blocks: int, base: str) -> Dat
             rows = []
             for r in pdf.itertuples(index=False):
                 sizes = np.asarray(r.sizes, np.int64)
-                start = [np.asarray(x, np.int32) for x in (*r.elites, *r.guests)]
-                rows.append(_row(r.block, r.island, np.asarray(r.ids), np.asarray(r.pieces), sizes, evolve(sizes, start, capacity, GENERATIONS, seed=7 + r.block * 1013 + r.island)))
+                start = [np.asarray(x, np.int64) for x in (*r.elites, *r.guests)]
+                rows.append(_row(r.block, r.island, np.asarray(r.ids), np.asarray(r.pieces), sizes, start, 7 + r.block * 1013 + r.island))
             if rows:
                 yield pd.concat(rows)
 
@@ -144,10 +204,15 @@ def _pack_blocks(items: DataFrame, capacity: int, blocks: int, base: str) -> Dat
     each = items.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
     spread = each.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)]))).repartition(tasks, "block", "island")
     state = written(spread.groupBy("block", "island").applyInPandas(found, _STATE), f"{base}/round=0")
-    for r in range(1, ROUNDS):
+    for r in range(ROUNDS):
+        each_block = state.groupBy("block").agg(F.min("used").alias("used"), F.first("least").alias("least"), F.sum("children").alias("children"))
+        seen = each_block.agg(F.count(F.lit(1)), F.sum("used"), F.sum("least"), F.count_if(F.col("used") > F.col("least")), F.sum("children")).first()
+        report.append(dict(zip(("round", "blocks", "used", "least", "open_blocks", "children"), (r, *seen), strict=True)))
+        if r == ROUNDS - 1 or not seen[3]:
+            break  # evolution has nothing left to do in any block, or has had its rounds
         guests = state.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).alias("island"), F.col("elites").alias("guests"))
         state = written(
-            state.join(guests, ["block", "island"]).repartition(tasks, "block", "island").mapInPandas(migrated, _STATE), f"{base}/round={r}"
+            state.join(guests, ["block", "island"]).repartition(tasks, "block", "island").mapInPandas(migrated, _STATE), f"{base}/round={r + 1}"
         )
     best = state.groupBy("block").agg(
         F.max_by(F.struct("ids", "pieces", "sizes", F.col("elites")[0].alias("bins")), F.struct(-F.col("used"), "score", -F.col("island"))).alias("b")
@@ -164,6 +229,13 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n", capacity
     piece counts from 0, first is where the piece starts in the item. Only items larger than capacity have more than
     one piece. container is a name; the sizes of its pieces sum to capacity at most.
     """
+    return packed(sizes, id_col, size_col, capacity, block)[0]
+
+
+def packed(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n", capacity: int = CAPACITY, block: int = BLOCK) -> tuple[DataFrame, list[dict]]:
+    """The result of pack, and a report of the evolution: for each level and round the blocks, the containers they use
+    and need at least, the blocks that use more than that, and the children made."""
+    report: list[dict] = []
     spark = sizes.sparkSession
     ship(spark)
     base = shared_path(spark, "packing")
@@ -183,31 +255,25 @@ def pack(sizes: DataFrame, id_col: str = "doc_id", size_col: str = "n", capacity
         (F.col("size") > 0) | (F.col("piece") == 0)
     )
     todo = left.select("item", "piece", "size")
-    for level in range(LEVELS):
-        count = todo.count()
-        if not count:
-            break
+    level = 0
+    while count := todo.count():
         blocks = max(1, -(-count // block))
-        packed = _pack_blocks(todo, capacity, blocks, f"{base}/level={level}")
-        fill = F.sum("size").over(_same_bin())
-        packed = written(packed.withColumn("fill", fill), f"{base}/packed={level}")
-        weak = packed.filter(F.col("fill") < FULL * capacity)
-        # Where most items lie in containers that can't be filled any better, opening them again gains nothing.
-        last = blocks == 1 or level == LEVELS - 1 or weak.count() * 2 > count
-        done = packed if last else packed.filter(F.col("fill") >= FULL * capacity)
+        rounds: list[dict] = []
+        best = _pack_blocks(todo, capacity, blocks, f"{base}/level={level}", rounds)
+        report += [{"level": level} | r for r in rounds]
+        best = best.withColumn("fill", F.sum("size").over(Window.partitionBy("block", "bin")))
+        # Within a block, at most some thousand rows: items in containers from the emptiest up, and how many so far.
+        rising = Window.partitionBy("block").orderBy("fill", "bin")
+        best = best.withColumn("upto", F.count(F.lit(1)).over(rising)).withColumn("all", F.count(F.lit(1)).over(Window.partitionBy("block")))
+        again = (F.col("fill") < FULL * capacity) & (F.col("upto") * 2 <= F.col("all"))
+        best = written(best.withColumn("again", again if blocks > 1 else F.lit(False)), f"{base}/packed={level}")
+        done = best.filter(~F.col("again"))
         parts.append(done.select("item", "piece", "size", F.concat(F.lit(f"c{level}-"), "block", F.lit("-"), "bin").alias("container")))
-        if last:
-            break
-        todo = weak.select("item", "piece", "size")
+        todo = best.filter("again").select("item", "piece", "size")
+        level += 1
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out.select(
         F.col("item").alias(id_col), "piece", (F.col("piece").cast("bigint") * capacity).alias("first"), "size", "container"
-    )
-
-
-def _same_bin():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("block", "bin")
+    ), report

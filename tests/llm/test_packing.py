@@ -65,6 +65,48 @@ def test_items_that_cannot_share(spark):
     assert len({r["container"] for r in got}) == len(got) == 300
 
 
+def triplets(rng, n):
+    """Items that fill n containers of 1,000 exactly, three each: best fit needs a sixth more of them."""
+    out = []
+    for _ in range(n):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (1000 - a) // 2 + 1))
+        out += [a, b, 1000 - a - b]
+    return [out[i] for i in rng.permutation(len(out))]
+
+
+def test_evolution_beats_best_fit(spark):
+    sizes = triplets(np.random.default_rng(5), 120)
+    first = packing.evolve(np.array(sizes), [], 1000, 0, 1)[0].max() + 1
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, n int")
+    got, report = packing.packed(df, capacity=1000, block=90)
+    used = got.select("container").distinct().count()
+    assert first > 138 and used <= 128
+    assert sum(r["children"] for r in report) > 100 and max(r["round"] for r in report) == packing.ROUNDS - 1
+    assert {r["level"] for r in report} >= {0, 1}
+    by_round = [r["used"] for r in report if r["level"] == 0]
+    assert by_round == sorted(by_round, reverse=True) and by_round[-1] <= 128
+
+
+def test_exchange_never_overfills():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        sizes = rng.integers(1, 500, 60).tolist()
+        bins, rooms = [[] for _ in range(12)], [1000] * 12
+        out = []
+        for k, s in enumerate(sizes):
+            c = int(rng.integers(0, 12))
+            if rooms[c] >= s and k % 4:
+                bins[c].append(k)
+                rooms[c] -= s
+            else:
+                out.append(k)
+        left = packing.exchange(sizes, bins, rooms, out, rng)
+        assert sorted([*left, *(k for b in bins for k in b)]) == list(range(60))
+        assert all(r >= 0 and r == 1000 - sum(sizes[k] for k in b) for r, b in zip(rooms, bins))
+        assert sum(sizes[k] for k in left) <= sum(sizes[k] for k in out)
+
+
 def test_pack_edge(spark):
     s = "doc_id bigint, n int"
     assert packing.pack(spark.createDataFrame([], s)).count() == 0
