@@ -13,6 +13,12 @@ import html
 import quopri
 import re
 
+#: Parts are opened so deep; Python's recursion has a limit. A part below it is shown as it is.
+DEPTH = 100
+#: A signature has at most so many lines, each shorter than this; what follows is read again.
+SIGNATURE, SHORT = 10, 100
+#: A line this long is a paragraph of the message, also if it has the words of a disclaimer.
+LONG = 1_000
 _BLANK = re.compile(r"\n[ \t]*\n")
 _FIELD = re.compile(r"^([!-9;-~]+)[ \t]*:(.*)$")
 _PARAM = re.compile(r';\s*([\w*-]+)\s*=\s*("[^"]*"|[^;\s]+)')
@@ -104,6 +110,15 @@ def _parts(body: str, boundary: str) -> list[str]:
     return out
 
 
+def _split(message: str) -> tuple[str, str]:
+    """Header and body. An empty line ends the header; one of blanks only where no field follows, as it may be the rest
+    of a folded field."""
+    for m in _BLANK.finditer(message):
+        if m.group(0) == "\n\n" or not _FIELD.match(message[m.end() :].split("\n", 1)[0]):
+            return message[: m.start()], message[m.end() :]
+    return message, ""
+
+
 def content(message: str, depth: int = 0, top: bool = True) -> str:
     """The texts of a message or part that are shown."""
     head, body = "", message
@@ -111,15 +126,14 @@ def content(message: str, depth: int = 0, top: bool = True) -> str:
     if message.startswith("\n"):
         body = message[1:]
     elif _FIELD.match(opening) or opening.startswith("From "):
-        m = _BLANK.search(message)
-        head, body = (message[: m.start()], message[m.end() :]) if m else (message, "")
+        head, body = _split(message)
     f = fields(head)
     kind = f.get("content-type", "text/plain")
     mime = kind.split(";")[0].strip().lower() or "text/plain"
     params = {k.lower(): v.strip('"') for k, v in _PARAM.findall(kind)}
     if f.get("content-disposition", "").lower().startswith("attachment") or (not top and "name" in params):
         return ""
-    if mime.startswith("multipart/") and "boundary" in params and depth < 8:
+    if mime.startswith("multipart/") and "boundary" in params and depth < DEPTH:
         parts = _parts(body, params["boundary"])
         if not parts:
             return body
@@ -135,11 +149,16 @@ def content(message: str, depth: int = 0, top: bool = True) -> str:
     return shown(text) if looks else text
 
 
+def _greets(line: str) -> bool:
+    """A greeting has few words, or ends as one does."""
+    return bool(_GREETING.match(line)) and (line.count(" ") <= 5 or (line[-1] in ",!:、，" and len(line) < SHORT))
+
+
 def lines_of(message: str) -> list[str]:
     """The lines of the body that a reader reads as its content."""
     text = content(message.replace("\r\n", "\n").replace("\r", "\n"))
     out: list[str] = []
-    level, skip, boiler, fresh = 0, False, False, True
+    level, skip, boiler, fresh = 0, 0, False, True  # skip: lines of a signature that may still come
     for raw in text.split("\n"):
         line = raw.strip()
         depth = 0
@@ -148,7 +167,7 @@ def lines_of(message: str) -> list[str]:
             depth = marks.count(">") + marks.count("|")
             line = raw[m.end() :].strip()
         if depth != level:
-            level, skip, boiler, fresh = depth, False, False, True
+            level, skip, boiler, fresh = depth, 0, False, True
         if not line:
             boiler = False
             if not skip:
@@ -156,19 +175,22 @@ def lines_of(message: str) -> list[str]:
             continue
         first = line[0]
         if first == "-" and _ORIGINAL.match(line):
-            skip, boiler, fresh = False, False, True
-            continue
-        if skip:
+            skip, boiler, fresh = 0, False, True
             continue
         size = len(line)
-        if size <= 60:
+        if skip:
+            if size < SHORT and not _greets(line) and not (line[-1] in ":：" and _ATTRIBUTION.search(line)):
+                skip -= 1
+                continue
+            skip, fresh = 0, True
+        if size < SHORT:
             if line == "--" or _CLOSING.match(line):
-                skip = True  # a signature lasts to the end of its level of quotation
+                skip = SIGNATURE
                 continue
             if first in "_*=~#-" and _RULE.match(line):
                 boiler = True
                 continue
-            if fresh and ((_GREETING.match(line) and line.count(" ") <= 5) or _NAME_ONLY.match(line)):
+            if fresh and (_greets(line) or _NAME_ONLY.match(line)):
                 fresh = False
                 continue
         if line[-1] in ":：" and _ATTRIBUTION.search(line):
@@ -176,10 +198,10 @@ def lines_of(message: str) -> list[str]:
             continue
         if fresh and _OLD_FIELD.match(line):
             continue
-        if size < 400 and _DISCLAIMER.search(line):
+        if (size < LONG or boiler) and _DISCLAIMER.search(line):
             boiler = True
             continue
-        if boiler and size < 400 and not out[-1:] == [""]:
+        if boiler and size < LONG and not out[-1:] == [""]:
             # the rest of a disclaimer whose words go on in the next lines
             if first.islower():
                 continue

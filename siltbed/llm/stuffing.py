@@ -3,22 +3,25 @@
 Each page's body is reduced to the counts of its words. Its rank-frequency curve is fitted with SQL windows: words in
 order of falling frequency, words of equal frequency at their mean rank, a straight line through log frequency over
 log rank. Repeated keywords make the line steep, bend it away (a large residual) or, where there are only a few of
-them, lift it as a whole (a large mean log frequency, its height); sentences do none of it. The divergence of a page is what of its words can't be explained by the prose of its language: each word is explained up
-to LEEWAY times its usual frequency there. Both are held against the pages of the same language and of comparable
+them, lift it as a whole (a large mean log frequency, its height); sentences do none of it. The divergence of a page is
+what of its words can't be explained by the prose of its language: each word is explained up to LEEWAY times its usual
+frequency there, links (and all words of an item of a link list) and tags as one word each. All are held against the pages of the same language and of comparable
 length (a factor of two), by medians and median deviations over all bodies, copies counted once.
 
-A page is flagged if more than half of its words are unexplained and its curve is extreme, or links and tags make up
-so much of it that the curve has too few words to tell. Lines of machine logs are neither sentences nor keywords:
-they count as part of the page only.
+A page is flagged if more than half of its words are unexplained and its curve is extreme, or its divergence is: more
+than ALONE of its words are unexplained, which no deviation among pages of its length makes usual. Lines of
+machine logs are neither sentences nor keywords: they count as part of the page only.
 
-Models are statistics of all bodies: usual word frequencies of each language (each body with equal weight; the WORDS
-most usual words of each of the LANGUAGES largest languages, so the broadcast model has a fixed bound; rarer words
-explain nothing, which only matters below their tiny frequency), and the medians. Copies and near copies of a body count
-once in all of them, however many there are: else a page that is a third of a corpus would pass for its prose.
+Models are statistics of all bodies: usual word frequencies of each language (each body with equal weight), and the
+medians. Copies and near copies of a body count once in all of them, however many there are: else a page that is a
+third of a corpus would pass for its prose. The model is fitted twice, the second time without the pages that the
+first one flags. Words rarer than RARE in a language are left out of the model: the page loses LEEWAY * RARE for each
+such word at most, and a language has at most 1 / RARE words, which bounds what is broadcast; a model of more than
+MODEL_ROWS rows (very many languages) is joined instead.
 
-Defined results: null, empty and blank texts and bodies of fewer than LEAST words have no curve and are never flagged.
-A page without a language, or of one with fewer than MIN_PAGES bodies, is compared with the language that explains
-most of its words.
+Defined results: null, empty and blank texts and bodies without words have no curve and are never flagged. A page
+without a language, or of one with fewer than MIN_PAGES bodies (too few to model), is compared with the language that
+explains most of its words.
 """
 
 from __future__ import annotations
@@ -27,19 +30,30 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltbed.llm.mailtext import lines_of
-from siltbed.session import balanced, shared_path, ship, written
+from siltbed.session import balanced, broadcast_if_small, shared_path, ship, written
 
 LEEWAY = 2.0
-WORDS, LANGUAGES, MIN_PAGES, LEAST = 3_000, 40, 20, 8
-EXTREME = 2.0  #: median deviations beyond which slope, residual and height are extreme
+MIN_PAGES, RARE = 20, 2e-5
+MODEL_ROWS = 2_000_000
+FITS = 2
+EXTREME = 2.0  #: median deviations beyond which a measure of the curve is extreme
+ALONE = 0.75  #: share of unexplained words at which the divergence is extreme by itself
 CURVE = ("slope", "residual", "height")
-LINKS = 0.10  #: share of links and tags at which a page is a list of them
+# Languages as they are spelled out, by their two letters.
+SPELLED = {
+    "eng": "en", "english": "en", "deu": "de", "ger": "de", "german": "de", "deutsch": "de", "fra": "fr", "fre": "fr", "french": "fr",
+    "français": "fr", "spa": "es", "spanish": "es", "español": "es", "rus": "ru", "russian": "ru", "русский": "ru", "jpn": "ja",
+    "japanese": "ja", "日本語": "ja", "ita": "it", "italian": "it", "por": "pt", "portuguese": "pt", "nld": "nl", "dut": "nl",
+    "dutch": "nl", "pol": "pl", "polish": "pl", "zho": "zh", "chi": "zh", "chinese": "zh", "kor": "ko", "korean": "ko",
+}
 
 _LOG = re.compile(r"\b\d\d:\d\d:\d\d(?:[.,]\d+)?\s+(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b.*?(?=\s\d\d:\d\d:\d\d|\n|\Z)")
+_URL = re.compile(r"https?://[^\s)\]>\"]+|www\.[^\s)\]>\"]+")
 _WORD = re.compile(
     r"https?://[^\s)\]>\"]+|www\.[^\s)\]>\"]+|[#@][\w-]+|[\u3040-\u30ff\u3400-\u9fff]|[^\W_\u3040-\u30ff\u3400-\u9fff]+(?:['’@$.-]+[^\W_\u3040-\u30ff\u3400-\u9fff]+)*[@$]*|\$[\w@$.-]+"
 )
@@ -49,8 +63,21 @@ _DISGUISE = str.maketrans("013457$@", "oieastsa")
 URL, TAG, NUMBER, CODE = "<url>", "<tag>", "<number>", "<code>"
 
 
+def _items(lines: list[str]) -> tuple[list[str], int]:
+    """The lines without items of link lists, and the words of these: a line is one if links are over half of it."""
+    kept, words = [], 0
+    for line in lines:
+        if "http" in line or "www." in line:
+            if 2 * sum(len(x) for x in _URL.findall(line)) > len(line):
+                words += len(_WORD.findall(line.lower()))
+                continue
+        kept.append(line)
+    return kept, words
+
+
 def words_of(lines: list[str]) -> tuple[Counter, int, int]:
-    """(counts of words, links and tags among them, words in log lines)."""
+    """(counts of words, links and tags among them, words in log lines). The words of a link list are all links."""
+    lines, linked = _items(lines)
     text = "\n".join(lines)
     logged = 0
     if ":" in text:
@@ -62,7 +89,7 @@ def words_of(lines: list[str]) -> tuple[Counter, int, int]:
 
         text = _LOG.sub(drop, text)
     counts = Counter(_WORD.findall(text.lower()))
-    marks = 0
+    marks = linked
     for w in [w for w in counts if not w.isalpha()]:
         n = 0
         if w.startswith(("http", "www.")):
@@ -80,9 +107,18 @@ def words_of(lines: list[str]) -> tuple[Counter, int, int]:
             kind = plain
         marks += n
         counts[kind] += counts.pop(w)
+    if linked:
+        counts[URL] += linked
     return counts, marks, logged
 
 
+def language(spelling: Column) -> Column:
+    """The language of a spelling such as en, EN, en-GB, eng or English, else an empty string."""
+    first = F.regexp_extract(F.lower(F.coalesce(spelling, F.lit(""))), r"^\s*([^\s_.-]*)", 1)
+    known = F.create_map(*[F.lit(x) for pair in SPELLED.items() for x in pair])
+    return F.coalesce(known[first], F.when(F.length(first).between(2, 3), first), F.lit(""))
+
+
 def pages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row a page: row, id, lang, n, marks, logged, words, counts, and its frequencies: freq, types."""
     ship(docs.sparkSession)
@@ -90,7 +126,7 @@ def pages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     base = docs.select(
         F.monotonically_increasing_id().alias("row"),
         F.col(f"`{id_col}`").alias("id"),
-        F.lower(F.substring(F.coalesce(F.col(f"`{lang}`"), F.lit("")), 1, 2)).alias("lang"),
+        language(F.col(f"`{lang}`")).alias("lang"),
         F.col(f"`{text}`").alias("text"),
     ).filter(F.length(F.trim("text")) > 0)
 
@@ -157,49 +193,80 @@ def one_each(p: DataFrame, *by: str) -> DataFrame:
 
 
 def usual_words(p: DataFrame) -> DataFrame:
-    """(lang, word, p): usual frequencies of the WORDS most usual words of each of the largest languages, over one page
-    of each body."""
-    fit = p.filter((F.col("n") >= LEAST) & (F.length("lang") == 2))
+    """(lang, word, p): usual frequencies of the words of each language with MIN_PAGES bodies at least, over one page of
+    each body; words rarer than RARE are left out."""
+    fit = p.filter(F.length("lang") > 0)
     fit = fit.join(one_each(fit, "lang"), "row", "left_semi")
     sizes = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= MIN_PAGES)
-    sizes = sizes.orderBy(F.desc("pages"), "lang").limit(LANGUAGES)
     each = fit.select("lang", "n", F.explode(F.arrays_zip("words", "counts")).alias("x"))
     mass = each.groupBy("lang", F.col("x.words").alias("word")).agg(F.sum(F.col("x.counts") / F.col("n")).alias("mass"))
     p_ = mass.join(F.broadcast(sizes), "lang").select("lang", "word", (F.col("mass") / F.col("pages")).alias("p"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("p"), "word"))
-    return p_.withColumn("nth", nth).filter(F.col("nth") <= WORDS).drop("nth")
+    return p_.filter(F.col("p") >= RARE)
 
 
-def explained(p: DataFrame, model: list[tuple[str, str, float]]) -> DataFrame:
-    """(row, like, share): the language that explains most of a page, and that share of its words."""
+def explained(p: DataFrame, model: DataFrame, rows: int = MODEL_ROWS) -> DataFrame:
+    """(row, like, share): the language that explains most of a page, and that share of its words; equal shares: the
+    first language. like is null without any model. A model of at most `rows` rows is sent to all tasks."""
+    if model.count() > rows:
+        return explained_by_join(p, model)
     spark = p.sparkSession
-    langs = sorted({lang for lang, _, _ in model})
-    table: dict[str, list[tuple[int, float]]] = {}
-    for lang, word, share in model:
-        table.setdefault(word, []).append((langs.index(lang), share * LEEWAY))
-    sent = spark.sparkContext.broadcast((langs, table))
+    table = model.orderBy("word", "lang").toPandas()
+    langs = sorted(table["lang"].unique())
+    words, at = np.unique(table["word"].to_numpy(object).astype(str), return_index=True) if len(table) else (np.empty(0, str), np.empty(0, int))
+    order = table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
+    sent = spark.sparkContext.broadcast(
+        (langs, words.tolist(), at.astype(np.int64), np.diff([*at, len(table)]).astype(np.int64), order, table["p"].to_numpy(float) * LEEWAY)
+    )
 
     def compare(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        langs, table = sent.value
-        get = table.get
+        langs, words, first, length, lang, most = sent.value
+        known = pa.array(words, pa.string())
         for b in batches:
-            like, share = [], []
-            for n, words, counts in zip(b.column("n").to_pylist(), b.column("words").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                got = [0.0] * len(langs)
-                for w, c in zip(words, counts, strict=True):
-                    for k, q in get(w, ()):
-                        f = c / n
-                        got[k] += f if f < q else q
-                best = max(range(len(got)), key=got.__getitem__) if got else -1
-                like.append(langs[best] if got else None)
-                share.append(got[best] if got else 0.0)
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(like, pa.string()), pa.array(share, pa.float64())], names=["row", "like", "share"])
+            m = b.num_rows
+            if not langs:
+                yield pa.RecordBatch.from_arrays([b.column("row"), pa.nulls(m, pa.string()), pa.array(np.zeros(m))], names=["row", "like", "share"])
+                continue
+            lists, counts = b.column("words"), b.column("counts")
+            page = np.repeat(np.arange(m), np.asarray(pc.list_value_length(lists)))
+            found = pc.index_in(lists.flatten(), known)
+            on = np.asarray(found.is_valid())
+            code = np.asarray(found.fill_null(0))[on].astype(np.int64)
+            share = (np.asarray(counts.flatten()) / np.asarray(b.column("n"))[page])[on]
+            # One entry for each language that uses the word.
+            many = length[code]
+            entry = np.repeat(first[code] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            got = np.bincount(
+                np.repeat(page[on], many) * len(langs) + lang[entry], np.minimum(np.repeat(share, many), most[entry]), m * len(langs)
+            ).astype(float).reshape(m, len(langs))
+            best = got.argmax(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), pa.array([langs[i] for i in best], pa.string()), pa.array(got[np.arange(m), best], pa.float64())], names=["row", "like", "share"]
+            )
 
     return p.select("row", "n", "words", "counts").mapInArrow(compare, "row bigint, like string, share double")
 
 
+def explained_by_join(p: DataFrame, model: DataFrame) -> DataFrame:
+    """The same by a join on words, for a model of any size."""
+    each = p.select("row", "n", F.explode(F.arrays_zip("words", "counts")).alias("x")).select(
+        "row", F.col("x.words").alias("word"), (F.col("x.counts") / F.col("n")).alias("share")
+    )
+    by = each.join(model, "word").groupBy("row", "lang").agg(F.sum(F.least("share", F.col("p") * LEEWAY)).alias("share"))
+    best = by.groupBy("row").agg(F.max_by("lang", F.struct(F.round("share", 9), _reversed("lang"))).alias("like"), F.max("share").alias("share"))
+    none = model.agg(F.min("lang").alias("least"))
+    return p.select("row").join(best, "row", "left").join(F.broadcast(none), F.lit(True), "left").select(
+        "row", F.coalesce("like", "least").alias("like"), F.coalesce("share", F.lit(0.0)).alias("share")
+    )
+
+
+def _reversed(name: str) -> Column:
+    """Orders strings of letters the other way round."""
+    return F.transform(F.split(name, ""), lambda c: -F.ascii(c))
+
+
 def with_medians(m: DataFrame, of: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """m with c_mid for each column c: its median over the pages of `of` that are like a page and of its size class, or
     over all pages like it where those are fewer than MIN_PAGES."""
@@ -214,28 +281,47 @@ def with_medians(m: DataFrame, of: DataFrame, columns: tuple[str, ...]) -> DataF
 
 def measures(docs: DataFrame, **columns: str) -> DataFrame:
     """All measures of each page with a curve, and whether it is stuffed."""
-    spark = docs.sparkSession
-    base = shared_path(spark, "stuffing")
-    p = written(with_body(pages(docs, **columns)), f"{base}/pages").filter(F.col("n") >= LEAST)
-    model = [tuple(r) for r in usual_words(p).collect()]  # at most LANGUAGES * WORDS rows
-    head = p.select("row", "id", "body", "n", "marks", "logged", F.floor(F.log2("n")).cast("int").alias("size"))
-    m = written(head.join(explained(p, model), "row").join(curves(p), "row"), f"{base}/measures")
-    first = one_each(m, "like").withColumn("first", F.lit(True))
+    base = shared_path(docs.sparkSession, "stuffing")
+    p = written(with_body(pages(docs, **columns)), f"{base}/pages").filter("n > 0")
+    shape = p.select("row", "id", "body", "lang", "n", "marks", "logged", F.floor(F.log2("n")).cast("int").alias("size")).join(curves(p), "row")
+    shape = written(shape, f"{base}/shape")
+    fit, judged, bad = p, None, None
+    for k in range(FITS):
+        model = written(usual_words(fit), f"{base}/model={k}")
+        m = shape.join(explained(p, model), "row")
+        m = m.join(bad.withColumn("bad", F.lit(True)), "row", "left") if bad is not None else m.withColumn("bad", F.lit(None).cast("boolean"))
+        judged = _judged(written(m, f"{base}/measures={k}"), f"{base}/fit={k}")
+        if k + 1 < FITS:
+            bad = written(judged.filter("stuffed").select("row"), f"{base}/flagged={k}")
+            fit = p.join(broadcast_if_small(bad, f"{base}/flagged={k}"), "row", "left_anti")
+    return judged
+
+
+def _judged(m: DataFrame, base: str) -> DataFrame:
+    """m with the measures compared, and stuffed. Compared is with pages that say themselves that they are in the language
+    they are like, each body once, and not flagged by the fit before: pages that are like no language are like some by
+    chance, and would be that one's usual pages where it has few."""
+    usual = m.filter((F.col("lang") == F.col("like")) & F.col("bad").isNull())
+    first = one_each(usual, "like").withColumn("first", F.lit(True))
     m = written(m.join(first, "row", "left"), f"{base}/bodies")
-    # All sides that are broadcast have at most LANGUAGES times the number of size classes rows.
+    # All sides that are broadcast have at most one row for each language and size class.
     j = with_medians(m, m.filter("first"), ("share",))
-    j = written(with_medians(j, j.filter(F.col("first") & (F.col("share") >= 0.5 * F.col("share_mid"))), CURVE), f"{base}/compared")
-    off = lambda c: F.col(c) - F.col(f"{c}_mid")
-    prose = j.filter(F.col("first") & (F.col("share") >= 0.5 * F.col("share_mid")))
-    dev = prose.groupBy("like").agg(*[(1.4826 * F.percentile_approx(F.abs(off(c)), 0.5)).alias(f"{c}_dev") for c in CURVE])
-    j = j.join(F.broadcast(dev), "like", "left")
     total = F.col("n") + F.col("logged")
     unexplained = (1 - F.least(F.lit(1.0), F.try_divide("share", "share_mid"))) * F.col("n") / total
-    extreme = F.col("marks") / total > LINKS
+    j = j.withColumn("unexplained", unexplained)
+    prose = F.col("first") & (F.col("share") >= 0.5 * F.col("share_mid"))
+    j = written(with_medians(j, j.filter(prose), CURVE), f"{base}/compared")
+    off = lambda c: F.col(c) - F.col(f"{c}_mid")
+    dev = lambda c: (1.4826 * F.percentile_approx(F.abs(off(c)), 0.5)).alias(f"{c}_dev")
+    by_length = j.filter(prose).groupBy("like", "size").agg(dev("share"), F.count(F.lit(1)).alias("pages"))
+    by_length = by_length.filter(F.col("pages") >= MIN_PAGES).drop("pages")
+    j = j.join(F.broadcast(j.filter(prose).groupBy("like").agg(*map(dev, CURVE))), "like", "left").join(F.broadcast(by_length), ["like", "size"], "left")
+    # Without pages of comparable length there is nothing to judge the divergence alone by.
+    extreme = F.coalesce((F.col("unexplained") > ALONE) & (-off("share") > F.lit(EXTREME) * F.col("share_dev")), F.lit(False))
     for c in CURVE:
         side = -off(c) if c == "slope" else off(c)
         extreme = extreme | F.coalesce(side > F.lit(EXTREME) * F.col(f"{c}_dev"), F.lit(False))
-    return j.withColumn("unexplained", unexplained).withColumn("stuffed", F.coalesce((F.col("unexplained") > 0.5) & extreme, F.lit(False)))
+    return j.withColumn("stuffed", F.coalesce((F.col("unexplained") > 0.5) & extreme, F.lit(False)))
 
 
 def stuffed_pages(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -49,6 +49,41 @@ def test_what_is_left_out():
     assert body(foot) == ["Some text."]
 
 
+def test_damaged_headers_and_signatures():
+    folded = "Received: from a by b;\n\t\nFrom: a@b.example\nContent-Transfer-Encoding: base64\n\n" + base64.b64encode(b"words of the body").decode()
+    assert body(folded) == ["words of the body"]
+    assert body("Subject: x\n \t\nno field here\n") == ["no field here"]
+    text = HEAD + "\nThanks,\nBob\n\nDear all,\n\nA mail that was pasted below.\n"
+    assert body(text) == ["A mail that was pasted below."]
+    long = "This paragraph comes after a signature and is longer than the lines that a signature is made of, so it is read."
+    assert body(HEAD + f"\nRegards\nBob\nTel. 1\n\n{long}\nand so on") == [long, "and so on"]
+    deep = "Subject: deep\n"
+    for i in range(60):
+        deep += f"Content-Type: multipart/mixed; boundary=B{i}x\n\n--B{i}x\n"
+    assert body(deep + "\nat the bottom") == ["at the bottom"]
+
+
+def test_languages(spark):
+    said = ["en", "EN", "en-GB", "eng", "English ", "de_AT", "German", "deutsch", "pt-BR", None, "", "unknown", "xx"]
+    got = spark.createDataFrame([(x,) for x in said], "x string").select(stuffing.language(F.col("x"))).collect()
+    assert [r[0] for r in got] == ["en"] * 5 + ["de"] * 3 + ["pt", "", "", "", "xx"]
+
+
+def test_explained_both_ways(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(120):
+        c = Counter(rng.choice(words) for _ in range(rng.randrange(1, 40)))
+        rows.append((i, sum(c.values()), list(c), list(c.values())))
+    p = spark.createDataFrame(rows, "row bigint, n int, words array<string>, counts array<int>")
+    model = spark.createDataFrame([(lang, w, rng.random() / 20) for lang in ("aa", "bb", "cc") for w in words if rng.random() < 0.6], "lang string, word string, p double")
+    a, b = ({r["row"]: (r["like"], round(r["share"], 9)) for r in x.collect()} for x in (stuffing.explained(p, model), stuffing.explained(p, model, 0)))
+    assert a == b and len(a) == 120
+    for got in (stuffing.explained(p, model.limit(0)), stuffing.explained_by_join(p, model.limit(0))):
+        assert {(r["like"], r["share"]) for r in got.collect()} == {(None, 0.0)}
+
+
 def test_words():
     counts, marks, logged = stuffing.words_of(["Best b3$t BEST #tag_one http://x.example/a 12.50 AB-X-123 it's 漢字", "10:00:00 INFO [a] key=1 took 5 ms"])
     assert counts["best"] == 3 and counts["it's"] == 1 and counts["漢"] == 1
