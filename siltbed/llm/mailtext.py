@@ -31,10 +31,11 @@ _CELL = re.compile(r"(?i)</t[dh]\s*>")
 _TAG = re.compile(r"<[A-Za-z/!][^>]*>?")
 _RULE = re.compile(r"^[\s_*=~#-]{5,}$")
 # How disclaimers and footers of lists are worded in mail archives, in the archive's languages.
-_DISCLAIMER = re.compile(
-    r"(?i)confidential|privileged|meant for the addressee|recorded for quality|consider the trees|vertraulich|"
-    r"confidentiel|confidencial|конфиденциальн|機密|unsubscribe|mailing list$|/info/[\w.-]+$"
-)
+_DISCLAIMER = (
+    "confidential", "privileged", "meant for the addressee", "recorded for quality", "consider the trees", "vertraulich", "confidentiel",
+    "confidencial", "конфиденциальн", "機密", "unsubscribe",
+)
+_LIST_PAGE = re.compile(r"(?i)/info/[\w.-]+$")
 _ATTRIBUTION = re.compile(r"(?i)(?:wrote|schrieb|a écrit|escribió|пишет|написал\w*|のメール|書きました|wrote on .*)\s*[:：]\s*$")
 _ORIGINAL = re.compile(r"^-{3,}.{3,60}-{3,}$")
 _OLD_FIELD = re.compile(r"^(?:From|Sent|To|Cc|Subject|Date|Von|Gesendet|An|Betreff|De|Envoyé|À|Objet|Para|Enviado|Asunto|От|Кому|Тема)\s*:", re.I)
@@ -149,6 +150,12 @@ def content(message: str, depth: int = 0, top: bool = True) -> str:
     return shown(text) if looks else text
 
 
+def _standing(line: str) -> bool:
+    """Whether a line is worded as disclaimers and footers are."""
+    low = line.lower()
+    return any(x in low for x in _DISCLAIMER) or low.endswith("mailing list") or ("/info/" in low and bool(_LIST_PAGE.search(line)))
+
+
 def _greets(line: str) -> bool:
     """A greeting has few words, or ends as one does."""
     return bool(_GREETING.match(line)) and (line.count(" ") <= 5 or (line[-1] in ",!:、，" and len(line) < SHORT))
@@ -198,7 +205,7 @@ def lines_of(message: str) -> list[str]:
             continue
         if fresh and _OLD_FIELD.match(line):
             continue
-        if (size < LONG or boiler) and _DISCLAIMER.search(line):
+        if (size < LONG or boiler) and _standing(line):
             boiler = True
             continue
         if boiler and size < LONG and not out[-1:] == [""]:

@@ -192,11 +192,12 @@ def one_each(p: DataFrame, *by: str) -> DataFrame:
     return p.groupBy(*by, "body").agg(F.min(F.struct("n", "row")).alias("b")).select("b.row")
 
 
-def usual_words(p: DataFrame) -> DataFrame:
+def usual_words(p: DataFrame, base: str) -> DataFrame:
     """(lang, word, p): usual frequencies of the words of each language with MIN_PAGES bodies at least, over one page of
-    each body; words rarer than RARE are left out."""
+    each body; words rarer than RARE are left out. base is a folder for what is written in between."""
     fit = p.filter(F.length("lang") > 0)
-    fit = fit.join(one_each(fit, "lang"), "row", "left_semi")
+    first = written(one_each(fit, "lang"), f"{base}-first")
+    fit = fit.join(broadcast_if_small(first, f"{base}-first"), "row", "left_semi")
     sizes = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= MIN_PAGES)
     each = fit.select("lang", "n", F.explode(F.arrays_zip("words", "counts")).alias("x"))
     mass = each.groupBy("lang", F.col("x.words").alias("word")).agg(F.sum(F.col("x.counts") / F.col("n")).alias("mass"))
@@ -287,7 +288,7 @@ def measures(docs: DataFrame, **columns: str) -> DataFrame:
     shape = written(shape, f"{base}/shape")
     fit, judged, bad = p, None, None
     for k in range(FITS):
-        model = written(usual_words(fit), f"{base}/model={k}")
+        model = written(usual_words(fit, f"{base}/model={k}"), f"{base}/model={k}")
         m = shape.join(explained(p, model), "row")
         m = m.join(bad.withColumn("bad", F.lit(True)), "row", "left") if bad is not None else m.withColumn("bad", F.lit(None).cast("boolean"))
         judged = _judged(written(m, f"{base}/measures={k}"), f"{base}/fit={k}")
