@@ -57,6 +57,22 @@ def pick(runs: DataFrame, options: LevelOptions = LevelOptions()) -> DataFrame:
     )
 
 
+def due(counts: dict[int, int], options: LevelOptions = LevelOptions()) -> tuple[int, int, bool, str] | None:
+    """The same rule as pick() on the few numbers that a store has at hand: (upper, lower, bottom, reason) or None."""
+    for upper in range(options.max_levels):
+        have, below = counts.get(upper, 0), counts.get(upper + 1, 0)
+        reason = None
+        if upper == 0:
+            reason = "level 0 is full" if have >= options.level0_trigger else None
+        elif not below:
+            reason = "lower level is empty" if have >= options.files_threshold else None
+        elif have and below * 100 // have < options.size_ratio_percent:
+            reason = "lower level is small"
+        if reason:
+            return upper, upper + 1, upper + 1 == options.max_levels, reason
+    return None
+
+
 def apply_result(runs: DataFrame, upper_level: int, lower_level: int, outputs: DataFrame) -> DataFrame:
     """The runs after a compaction: all of both levels are gone, the outputs (run_id) are in the lower one."""
     kept = runs.filter(~F.col("level").isin(upper_level, lower_level)).select("level", "run_id")
@@ -93,12 +109,13 @@ def drop_old_versions(log: DataFrame, horizon: int, bottom: bool = True) -> Data
     """Keep each key's newest version at or before the horizon and everything after it.
 
     At the bottom level a kept version that is a delete goes too, if it is at or before the horizon: nothing older is
-    left for it to hide. Any snapshot at or after the horizon reads the same as before.
+    left for it to hide. Any snapshot at or after the horizon reads the same as before. Versions of a key with the
+    same commit_ts stay together.
     """
     old = F.col("commit_ts") <= horizon
-    w = Window.partitionBy("key", old.alias("__old")).orderBy(F.col("commit_ts").desc())
-    kept = log.withColumn("__nth", F.when(old, F.row_number().over(w)))
-    cond: Column = F.col("__nth").isNull() | (F.col("__nth") == 1)
+    # One row a key, reduced map-side, and joined back: a key with very many versions is no single group anywhere.
+    last = log.filter(old).groupBy("key").agg(F.max("commit_ts").alias("__last"))
+    cond: Column = ~old | (F.col("commit_ts") == F.col("__last"))
     if bottom:
-        cond = cond & ~(F.col("__nth").isNotNull() & F.coalesce(F.col("is_deleted"), F.lit(False)))
-    return kept.filter(cond).drop("__nth")
+        cond = cond & ~(old & F.coalesce(F.col("is_deleted"), F.lit(False)))
+    return log.join(last, "key", "left").filter(cond).select(*log.columns)

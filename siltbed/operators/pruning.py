@@ -95,9 +95,10 @@ def may_contain(meta: DataFrame, key: str) -> DataFrame:
     return meta.filter((F.col("first_key") <= key) & (F.col("last_key") >= key))
 
 
-def find_block(blocks: DataFrame, key: str) -> DataFrame:
-    """The number of the block that contains a key, else of the first block with larger keys; null past the end."""
-    return blocks.filter(F.col("last_key") >= key).agg(F.min("block_no").alias("block_no"))
+def find_block(blocks: DataFrame, key: str, run: str | None = None) -> DataFrame:
+    """The number of the block that contains a key, else of the first block with larger keys; null past the end. With
+    run, for each run that doesn't end before the key."""
+    return blocks.filter(F.col("last_key") >= key).groupBy(*([run] if run else [])).agg(F.min("block_no").alias("block_no"))
 
 
 def entry_at(log: DataFrame, index: int, run: str = "run_id") -> DataFrame:

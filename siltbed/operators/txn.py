@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltbed.operators.heavy_keys import previous_by_key
 from siltbed.sources.tables import has_key
 
 
@@ -63,9 +64,9 @@ def conflicts_between(writes: DataFrame) -> DataFrame:
     writes: txn_id, key, read_ts, commit_ts. Each write only looks at the write of its key committed just before it
     (the latest that can have happened after read_ts), so no pairs are made.
     """
-    before = F.lag("commit_ts").over(Window.partitionBy("key").orderBy("commit_ts"))
     w = writes.select("txn_id", "key", "read_ts", "commit_ts").distinct()
-    return w.withColumn("__before", before).filter(F.col("__before") > F.col("read_ts")).select("txn_id").distinct()
+    before = previous_by_key(w, "key", ["commit_ts", "txn_id"], "commit_ts", prev="__before")  # a hot key is sliced there
+    return before.filter(F.col("__before") > F.col("read_ts")).select("txn_id").distinct()
 
 
 def hash_conflicts(committed: DataFrame, pending: DataFrame) -> DataFrame:

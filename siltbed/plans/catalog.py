@@ -7,7 +7,9 @@ key ranges, the orders serve.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from itertools import groupby
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltbed.functions import bloom, codec, metrics
@@ -174,24 +176,12 @@ def kv_k_way(spark, d):
     return merge.k_way([log.filter(F.col("run_id") % 3 == r) for r in (2, 1, 0)]).select("key", "value", "commit_ts")
 
 
-@query(
-    f"""{_LOG}, u AS (SELECT key, max(commit_ts) AS commit_ts FROM kv WHERE run_id % 2 = 0 AND run_id < 4 GROUP BY key),
-l AS (SELECT key, max(commit_ts) AS commit_ts FROM kv WHERE run_id % 2 = 1 GROUP BY key)
-SELECT key, commit_ts FROM u UNION ALL SELECT key, commit_ts FROM l WHERE key NOT IN (SELECT key FROM u)"""
-)
-def kv_two_merge(spark, d):
-    log = event_log(spark, d)
-    best = lambda x: x.groupBy("key").agg(F.max("commit_ts").alias("commit_ts"))
-    return merge.two_way(best(log.filter("run_id % 2 = 0 and run_id < 4")), best(log.filter("run_id % 2 = 1")))
-
-
 @query(
     f"""{_LOG}, u AS (SELECT key, max(commit_ts) AS commit_ts FROM kv WHERE run_id % 2 = 0 GROUP BY key),
 l AS (SELECT key, max(commit_ts) AS commit_ts FROM kv WHERE run_id % 2 = 1 GROUP BY key)
 SELECT key, commit_ts FROM u UNION ALL SELECT key, commit_ts FROM l WHERE key NOT IN (SELECT key FROM u)"""
 )
-def kv_two_merge_all(spark, d):
-    """The same with all even runs as the upper side."""
+def kv_two_merge(spark, d):
     log = event_log(spark, d)
     best = lambda x: x.groupBy("key").agg(F.max("commit_ts").alias("commit_ts"))
     return merge.two_way(best(log.filter("run_id % 2 = 0")), best(log.filter("run_id % 2 = 1")))
@@ -214,18 +204,6 @@ _ORD = """WITH r AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 10, '0') AS key, o
   CAST(0 AS BIGINT) AS version, o_orderkey // 1000 AS run_id FROM orders)"""
 
 
-@query(f"{_ORD} SELECT key, value FROM r WHERE run_id IN (1, 2, 5)")
-def kv_concat_runs(spark, d):
-    r = order_runs(spark, d)
-    return merge.concat([r.filter(F.col("run_id") == i) for i in (1, 2, 5)]).select("key", "value")
-
-
-@query(f"{_ORD} SELECT key, value FROM r WHERE run_id IN (1, 2, 5) AND key >= '0000002500'")
-def kv_concat_seek(spark, d):
-    r = order_runs(spark, d)
-    return merge.concat_from([r.filter(F.col("run_id") == i) for i in (1, 2, 5)], "0000002500").select("key", "value")
-
-
 def _all_order_runs(spark, d) -> list[DataFrame]:
     """All runs, in three groups."""
     r = order_runs(spark, d)
@@ -233,12 +211,12 @@ def _all_order_runs(spark, d) -> list[DataFrame]:
 
 
 @query(f"{_ORD} SELECT key, value FROM r")
-def kv_concat_runs_all(spark, d):
+def kv_concat_runs(spark, d):
     return merge.concat(_all_order_runs(spark, d)).select("key", "value")
 
 
 @query(f"{_ORD} SELECT key, value FROM r WHERE key >= '0000000700'")
-def kv_concat_seek_all(spark, d):
+def kv_concat_seek(spark, d):
     return merge.concat_from(_all_order_runs(spark, d), "0000000700").select("key", "value")
 
 
@@ -283,15 +261,6 @@ def kv_may_contain(spark, d):
     return pruning.may_contain(pruning.run_meta(order_runs(spark, d)), "0000004321").select("run_id")
 
 
-@query(
-    f"""{_ORD}, b AS (SELECT key, (row_number() OVER (ORDER BY key, commit_ts DESC) - 1) // 64 AS block_no FROM r WHERE run_id = 4),
-i AS (SELECT block_no, max(key) AS last_key FROM b GROUP BY block_no) SELECT min(block_no) AS block_no FROM i WHERE last_key >= '0000004321'"""
-)
-def kv_find_block(spark, d):
-    blocks = pruning.block_index(order_runs(spark, d).filter("run_id = 4"), 64, "run_id")
-    return pruning.find_block(blocks, "0000004321")
-
-
 @query(
     f"""{_ORD}, b AS (SELECT run_id, key, (row_number() OVER (PARTITION BY run_id ORDER BY key, commit_ts DESC) - 1) // ((4096 - 2) // 17) AS block_no FROM r)
 SELECT run_id, block_no, count(*) AS rows, 2 + 17 * count(*) AS bytes, min(key) AS first_key, max(key) AS last_key FROM b GROUP BY run_id, block_no"""
@@ -310,12 +279,6 @@ def kv_block_align(spark, d):
     return p.select("requested", pruning.aligned(F.col("requested")).alias("aligned"))
 
 
-@query("SELECT log_id, octet_length(encode(key)) AS key_bytes, octet_length(encode(value)) AS value_bytes FROM kv_log WHERE octet_length(encode(key)) > 65535 OR octet_length(encode(value)) > 65535")
-def kv_value_sizes(spark, d):
-    log = table(spark, d, "kv_log", "log_id", "key", "value")
-    return pruning.too_large(log).select("log_id", F.octet_length("key").cast("bigint").alias("key_bytes"), F.octet_length("value").cast("bigint").alias("value_bytes"))
-
-
 @query(
     """SELECT n, p, CAST(ceil(-n * ln(p) / power(ln(2), 2)) AS BIGINT) AS bits,
 CAST(greatest(1, round(ceil(-n * ln(p) / power(ln(2), 2)) / n * ln(2))) AS INTEGER) AS hashes
@@ -328,13 +291,6 @@ def kv_bloom_sizing(spark, d):
 
 @query()
 def kv_bloom_probe(spark, d):
-    """Keys of one run, and absent ones, against the filters of all runs."""
-    keys = [str(4000 + i).rjust(10, "0") for i in range(0, 400, 7)]
-    return bloom.probe_runs(bloom.run_filters(order_runs(spark, d)), [*keys, "absent", ""])
-
-
-@query()
-def kv_bloom_probe_all(spark, d):
     """All keys, and an absent neighbour of each, against the filters of the runs whose range of keys holds them."""
     log = order_runs(spark, d)
     runs = log.groupBy("run_id").agg(F.min("key").alias("first_key"), F.max("key").alias("last_key"))
@@ -343,6 +299,31 @@ def kv_bloom_probe_all(spark, d):
     return bloom.probe_keys(bloom.run_filters(log), own.unionByName(near))
 
 
+@query(
+    f"""{_ORD}, b AS (SELECT run_id, key, (row_number() OVER (PARTITION BY run_id ORDER BY key, commit_ts DESC) - 1) // 64 AS block_no FROM r),
+i AS (SELECT run_id, block_no, max(key) AS last_key FROM b GROUP BY run_id, block_no)
+SELECT run_id, min(block_no) AS block_no FROM i WHERE last_key >= '0000004321' GROUP BY run_id"""
+)
+def kv_find_block(spark, d):
+    """In each run that doesn't end before a key, the block to begin at."""
+    return pruning.find_block(pruning.block_index(order_runs(spark, d), 64, "run_id"), "0000004321", "run_id")
+
+
+@query("SELECT doc_id, octet_length(encode(message_id)) AS key_bytes, octet_length(encode(text)) AS value_bytes FROM documents WHERE octet_length(encode(message_id)) > 65535 OR octet_length(encode(text)) > 65535")
+def kv_value_sizes(spark, d):
+    """The messages that a block can't hold, by message id."""
+    log = table(spark, d, "documents", "doc_id", F.col("message_id").alias("key"), F.col("text").alias("value"))
+    return pruning.too_large(log).select("doc_id", F.octet_length("key").cast("bigint").alias("key_bytes"), F.octet_length("value").cast("bigint").alias("value_bytes"))
+
+
+@query(f"{_ORD} SELECT run_id, count(DISTINCT key) AS keys, CAST(0 AS BIGINT) AS missed FROM r GROUP BY run_id")
+def kv_bloom_complete(spark, d):
+    """How many of each run's own keys its filter denies."""
+    own = order_runs(spark, d).select("run_id", "key").distinct()
+    asked = bloom.probe_keys(bloom.run_filters(order_runs(spark, d)), own)
+    return asked.groupBy("run_id").agg(F.count(F.lit(1)).alias("keys"), F.count_if(~F.col("maybe")).alias("missed"))
+
+
 # -- compaction
 
 _RUNS = "runs AS (SELECT DISTINCT level, run_id FROM kv)"
@@ -392,9 +373,7 @@ def kv_compact_outputs(spark, d):
     """Rows and keys in the output files of a full rewrite."""
     log = event_log(spark, d)
     files = compaction.output_files(log, compaction.target_files(log, 64 << 10))
-    return files.groupBy("file_no").agg(F.count(F.lit(1)).alias("rows"), F.collect_set("key").alias("k")).agg(
-        F.sum("rows").alias("rows"), F.size(F.array_distinct(F.flatten(F.collect_list("k")))).cast("bigint").alias("keys")
-    )
+    return files.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count("key").alias("keys"))
 
 
 @query(
@@ -419,16 +398,6 @@ def kv_commit_ts(spark, d):
     return txn.commit_timestamps(event_log(spark, d), 500)
 
 
-@query(
-    f"""{_LOG}, w AS (SELECT DISTINCT txn_id, key, 5000 AS read_ts FROM kv WHERE txn_id < 30)
-SELECT txn_id, key FROM w WHERE EXISTS (SELECT 1 FROM kv WHERE kv.key = w.key AND kv.commit_ts > 9000)"""
-)
-def kv_conflicts(spark, d):
-    log = event_log(spark, d)
-    w = log.filter("txn_id < 30").select("txn_id", "key").distinct().withColumn("read_ts", F.lit(9000))
-    return txn.conflicts(w, log).select("txn_id", "key")
-
-
 @query(
     f"""{_LOG}, w AS (SELECT DISTINCT txn_id, key, (txn_id - 3) * 10 AS read_ts, txn_id * 10 + 9 AS commit_ts FROM kv)
 SELECT DISTINCT a.txn_id FROM w a JOIN w b ON a.key = b.key AND b.txn_id <> a.txn_id AND b.commit_ts > a.read_ts AND b.commit_ts < a.commit_ts"""
@@ -441,23 +410,11 @@ def kv_conflicts_between(spark, d):
     return txn.conflicts_between(w)
 
 
-@query(
-    f"""{_LOG}, last AS (SELECT txn_id, max(commit_ts) AS commit_ts FROM kv GROUP BY txn_id),
-late AS (SELECT DISTINCT key FROM kv JOIN last USING (txn_id) WHERE last.commit_ts > 9000)
-SELECT DISTINCT txn_id FROM kv WHERE txn_id < 30 AND key IN (SELECT key FROM late)"""
-)
-def kv_hash_conflicts(spark, d):
-    """The same with sets of key hashes."""
-    log = event_log(spark, d).withColumn("h", codec.polynomial_hash(F.col("key")))
-    done = log.groupBy("txn_id").agg(F.max("commit_ts").alias("commit_ts"), F.collect_set("h").alias("key_hashes"))
-    return txn.hash_conflicts(done.select("commit_ts", "key_hashes"), done.filter("txn_id < 30").select("txn_id", F.lit(9000).alias("read_ts"), "key_hashes"))
-
-
 @query(
     f"""{_LOG}, w AS (SELECT DISTINCT txn_id, key, txn_id * 10 + 9 AS read_ts FROM kv)
 SELECT txn_id, key FROM w WHERE EXISTS (SELECT 1 FROM kv WHERE kv.key = w.key AND kv.commit_ts > w.read_ts)"""
 )
-def kv_conflicts_all(spark, d):
+def kv_conflicts(spark, d):
     """All transactions tried again, each on the snapshot that followed its first try."""
     log = event_log(spark, d)
     w = log.select("txn_id", "key").distinct().withColumn("read_ts", F.col("txn_id") * 10 + 9)
@@ -468,8 +425,8 @@ def kv_conflicts_all(spark, d):
     f"""{_LOG}, last AS (SELECT key, max(txn_id) AS last_txn FROM kv GROUP BY key)
 SELECT DISTINCT txn_id FROM kv JOIN last USING (key) WHERE last_txn > txn_id"""
 )
-def kv_hash_conflicts_all(spark, d):
-    """The same with sets of key hashes."""
+def kv_hash_conflicts(spark, d):
+    """Retries that share a key hash with a later transaction."""
     log = event_log(spark, d).withColumn("h", codec.polynomial_hash(F.col("key")))
     done = log.groupBy("txn_id").agg(F.max("commit_ts").alias("commit_ts"), F.collect_set("h").alias("key_hashes"))
     again = done.select("txn_id", (F.col("txn_id") * 10 + 9).alias("read_ts"), "key_hashes")
@@ -563,7 +520,14 @@ def kv_hash31(spark, d):
     return order_runs(spark, d).select("key", codec.polynomial_hash(F.col("key")).alias("h"))
 
 
-@query()
+# CRC-32 bit by bit: eight steps for each byte (the keys are ASCII here).
+_CRC = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(key, ''), lambda c: CAST(ord(c) AS BIGINT))), "
+    "lambda h, b: list_reduce(list_prepend(xor(h, b), CAST(range(8) AS BIGINT[])), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+)
+
+
+@query(f"{_ORD} SELECT key, CAST({_CRC} AS BIGINT) AS crc FROM r")
 def kv_crc32(spark, d):
     return order_runs(spark, d).select("key", codec.checksum(F.col("key")).alias("crc"))
 
@@ -655,42 +619,140 @@ def kv_stream_ingest(spark, d):
     return store.read().select("key", "mod_revision")
 
 
-@query(_newest("key < 'u00000050'"))
-def kv_engine(spark, d):
-    """The whole engine: events written as batches and single writes, flushed and compacted, then scanned."""
-    from siltbed.engine import Engine
-
-    e = Engine(spark, shared_path(spark, "engine"))
-    log = event_log(spark, d).filter("key < 'u00000050'")
-    cut = log.agg(F.max("commit_ts")).first()[0] or 0
-    for lo, hi in ((-1, cut // 2), (cut // 2, cut)):
-        part = reads.versions_at(log.filter((F.col("commit_ts") > lo) & (F.col("commit_ts") <= hi)))
-        e.write_batch(part.select("key", "value", "is_deleted"))
+def _filled_engine(spark, d, batches: int = 6, **options):
+    """An engine with all events: each event is a commit of its own, imported in batches by number, then two single
+    writes. Small runs, so that several levels are filled."""
+    from siltbed.engine import Engine, Options
+
+    e = Engine(spark, shared_path(spark, "engine"), Options(**{"target_run_bytes": 64 << 10, **options}))
+    log = event_log(spark, d).select("key", "value", "is_deleted", "commit_ts")
+    lo, hi = log.agg(F.min("commit_ts"), F.max("commit_ts")).first()
+    step = max(1, -(-((hi or 0) - (lo or 0) + 1) // batches))
+    for a in range(lo or 0, (hi or 0) + 1, step):
+        e.write_batch(log.filter((F.col("commit_ts") >= a) & (F.col("commit_ts") < a + step)), order="commit_ts")
     e.put("u-extra", "x")
     e.delete("u-extra")
     e.flush()
-    e.compact(full=True)
-    return e.scan()
+    return e
 
 
 @query(_newest())
-def kv_engine_all(spark, d):
-    """The whole engine over all events: the first events of all keys are one batch, their second ones the next, and so
-    on, so that every event is written, flushed or compacted, and then scanned with all keys."""
-    from siltbed.engine import Engine
-
-    e = Engine(spark, shared_path(spark, "engine"))
-    nth = F.row_number().over(Window.partitionBy("key").orderBy("commit_ts"))
-    log = written(event_log(spark, d).withColumn("nth", nth), shared_path(spark, "engine-events"))
-    for i in range(1, (log.agg(F.max("nth")).first()[0] or 0) + 1):
-        e.write_batch(log.filter(F.col("nth") == i).select("key", "value", "is_deleted"))
-    e.put("u-extra", "x")
-    e.delete("u-extra")
-    e.flush()
+def kv_engine(spark, d):
+    """The whole engine: all versions of all events imported, single writes, flushed, compacted on the way and at last
+    as a whole, then scanned."""
+    e = _filled_engine(spark, d)
     e.compact(full=True)
     return e.scan()
 
 
+@query(f"{_LOG} SELECT count(*) + 2 AS rows, count(DISTINCT key) + 1 AS keys, CAST(0 AS BIGINT) AS overlaps, true AS settled FROM kv")
+def kv_engine_levels(spark, d):
+    """After compactions: rows and keys over all levels, runs of a level below 0 that meet the next one, and whether
+    nothing more is due."""
+    e = _filled_engine(spark, d)
+    meta = e.runs_table().filter("level > 0")
+    overlaps = pruning.overlapping_pairs(meta).filter("overlaps_next").count()
+    due = compaction.pick(e.runs_table()).count() + (0 if compaction.due(e.counts()) is None else 1)
+    log = e.log().groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count("key").alias("keys"))
+    return log.withColumn("overlaps", F.lit(overlaps).cast("bigint")).withColumn("settled", F.lit(due == 0))
+
+
+@query(_newest(tail="true", cols="key, value, is_deleted"))
+def kv_engine_recover(spark, d):
+    """A process that is gone without closing: its logs and its manifest are read by the next one. Half of the events are
+    in runs, the others only in logs that were written in batches."""
+    from siltbed.engine import Engine, Options
+    from siltbed.sources.wal import WalOptions
+
+    path = shared_path(spark, "engine")
+    log = event_log(spark, d).select("key", "value", "is_deleted", "commit_ts")
+    top = log.agg(F.max("commit_ts")).first()[0] or 0
+    first = Engine(spark, path, Options(sync_wal=False, memtable_bytes=64 << 20, wal=WalOptions(queue_rows=1 << 30)))
+    first.write_batch(log.filter(F.col("commit_ts") <= top // 2), order="commit_ts")
+    for r in log.filter(F.col("commit_ts") > top // 2).orderBy("commit_ts").toLocalIterator():
+        first.delete(r["key"]) if r["is_deleted"] else first.put(r["key"], r["value"])
+    first.wal.close()
+    found = Engine(spark, path)
+    # A delete has no value of its own in the engine.
+    kept = reads.versions_at(found.log()).select("key", "value", "is_deleted")
+    return kept.withColumn("value", F.when(F.col("is_deleted"), F.lit("error")).otherwise(F.col("value")))
+
+
+@query(
+    f"""{_LOG} SELECT DISTINCT a.txn_id FROM kv a JOIN kv b ON a.key = b.key AND b.txn_id = a.txn_id - 1 WHERE a.txn_id % 2 = 1"""
+)
+def kv_engine_txn(spark, d):
+    """All transactions in pairs, the second begun before the first commits: the ones that the engine rejects."""
+    from siltbed.engine import Conflict, Engine, Options
+    from siltbed.sources.wal import WalOptions
+
+    e = Engine(spark, shared_path(spark, "engine"), Options(sync_wal=False, memtable_bytes=64 << 20, wal=WalOptions(queue_rows=1 << 30)))
+    rows = event_log(spark, d).orderBy("commit_ts").select("txn_id", "key", "value", "is_deleted").toLocalIterator()
+    lost, open_ = [], {}
+    for pair, members in groupby(rows, lambda r: r["txn_id"] // 2):
+        open_ = {i: e.write_txn() for i in (2 * pair, 2 * pair + 1)}
+        for r in members:
+            t = open_[r["txn_id"]]
+            t.delete(r["key"]) if r["is_deleted"] else t.put(r["key"], r["value"])
+        for i, t in open_.items():
+            try:
+                t.commit()
+            except Conflict:
+                lost.append((i,))
+    e.close()
+    return spark.createDataFrame(lost, "txn_id bigint")
+
+
+@query("SELECT event_id AS commit_ts, event_type AS value FROM events")
+def kv_wal_replay(spark, d):
+    """All events through the batched log of a memtable, and read again from its files."""
+    from siltbed.sources import runs
+    from siltbed.sources.wal import WalBatcher, WalOptions
+
+    root = shared_path(spark, "wal")
+    wal = WalBatcher(spark, root, WalOptions(queue_rows=1 << 30))
+    for r in event_log(spark, d).select("key", "commit_ts", "value", "is_deleted").toLocalIterator():
+        wal.submit(1, [(r["key"], 0, r["commit_ts"], r["value"], r["is_deleted"], None, None, None)])
+    wal.close()
+    return runs.read_wal(spark, root).select("commit_ts", "value")
+
+
+def _manifest_files(spark, d):
+    """The manifest table as the files of a store that lost its manifest: a backup, and a side log with the last lines.
+    It returns the folder."""
+    from siltbed.session import write_bytes
+
+    m = table(spark, d, "manifest").orderBy("record_no")
+    lines = []
+    for r in m.toLocalIterator():
+        x = r.asDict(recursive=True)
+        task = {"compactionTask": x["compaction_task"]} if x["compaction_task"] else {}
+        lines.append(mf.line({"type": x["type"], "flushID": x["flush_id"], "memtableID": x["memtable_id"], **task, "producedSsts": x["produced_ssts"], "timestamp": x["record_no"]}))
+    folder = shared_path(spark, "manifest")
+    cut = max(0, len(lines) - mf.SIDE_LINES // 2)
+    for name, some in (("MANIFEST.bak", lines[:cut]), ("MANIFEST.wal", lines[cut:])):
+        write_bytes(spark, f"{folder}/{name}", ("\n".join(some) + "\n").encode())
+    return folder
+
+
+_REPLAYED = f"""{_EFFECTS} SELECT id AS sst_id, CAST(level AS INTEGER) AS level FROM (
+  SELECT *, row_number() OVER (PARTITION BY id ORDER BY record_no DESC, made DESC, level DESC) AS rn FROM ev) t WHERE rn = 1 AND made = 1"""
+
+
+@query(_REPLAYED)
+def kv_manifest_recover(spark, d):
+    """Recovery where the manifest is lost: backup and side log together are the whole state."""
+    return mf.replay(mf.ManifestFile(spark, _manifest_files(spark, d)).table())
+
+
+@query(f"SELECT sst_id FROM ({_REPLAYED}) r")
+def kv_manifest_compacted(spark, d):
+    """The same files after the manifest was rewritten without what later records made void, and opened again."""
+    folder = _manifest_files(spark, d)
+    mf.ManifestFile(spark, folder).compact()
+    return mf.replay(mf.ManifestFile(spark, folder).table()).select("sst_id")
+
+
 # -- the remaining small operators
 
 
@@ -724,10 +786,10 @@ def kv_memtable_size(spark, d):
     return pruning.estimated_size(table(spark, d, "kv_log", "memtable_id", "key", "value"), "memtable_id")
 
 
-@query(f"{_LOG} SELECT commit_ts FROM (SELECT unnest([5, 77, 1000, 99999999]) AS commit_ts) t WHERE commit_ts IN (SELECT commit_ts FROM kv)")
+@query(f"{_LOG} SELECT o_orderkey AS commit_ts FROM orders WHERE o_orderkey IN (SELECT commit_ts FROM kv)")
 def kv_is_committed(spark, d):
-    wanted = spark.createDataFrame([(5,), (77,), (1000,), (99999999,)], "commit_ts bigint")
-    return txn.committed(wanted, event_log(spark, d))
+    """The order numbers that are timestamps at which something was committed."""
+    return txn.committed(table(spark, d, "orders", F.col("o_orderkey").alias("commit_ts")), event_log(spark, d))
 
 
 @query(
@@ -763,22 +825,15 @@ def kv_sequence(spark, d):
 
 @query(_newest("key >= 'u00000010' AND key < 'u00000050'", order="commit_ts DESC") + " AND key > 'u00000020'")
 def kv_cached_scan(spark, d):
-    """A block cache: the range is kept in memory, and a second, narrower scan reads it from there."""
-    part = event_log(spark, d).filter(reads.between("u00000010", "u00000050")).persist()
-    return reads.snapshot(part).filter("key > 'u00000020'").select("key", "value")
-
-
-@query(
-    "SELECT key, version, commit_ts, value, is_deleted FROM (SELECT key, coalesce(version, -1) AS version, commit_ts, value, coalesce(is_deleted, false) AS is_deleted FROM kv_log WHERE memtable_id <= 20) t"
-)
-def kv_log_batches(spark, d):
-    """Records collected into batches, one for each transaction and memtable, and flattened again; the first memtables."""
-    return _batched(_batch_log(spark, d).filter("memtable_id <= 20"))
+    """Runs kept in memory up to a capacity: the second, narrower scan of a store reads them from there."""
+    e = _filled_engine(spark, d, cache_bytes=256 << 20)
+    e.scan("u00000010", "u00000050").count()
+    return e.scan("u00000010", "u00000050").filter("key > 'u00000020'")
 
 
 @query("SELECT key, coalesce(version, -1) AS version, commit_ts, value, coalesce(is_deleted, false) AS is_deleted FROM kv_log")
-def kv_log_batches_all(spark, d):
-    """The same for the whole log."""
+def kv_log_batches(spark, d):
+    """Records collected into batches, one for each transaction and memtable, and flattened again."""
     return _batched(_batch_log(spark, d))
 
 

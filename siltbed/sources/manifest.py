@@ -43,8 +43,9 @@ def freeze_record(id_: int) -> dict:
     return {"type": "freeze_memtable", "memtableID": id_}
 
 
-def flush_record(id_: int) -> dict:
-    return {"type": "flush", "flushID": id_, "producedSsts": [id_]}
+def flush_record(id_: int | None, made: list[int] | None = None) -> dict:
+    """A flush of memtable id_ into one run of the same number, or into the runs made."""
+    return {"type": "flush", "flushID": id_, "producedSsts": [id_] if made is None else made}
 
 
 def compaction_record(upper: int, upper_ids: list[int], lower: int, lower_ids: list[int], bottom: bool, outputs: list[int]) -> dict:
@@ -175,7 +176,7 @@ class ManifestFile:
                 ids.append(r["flushID"])
             ids = list(dict.fromkeys(i for i in ids if i is not None)) if r["type"] in ("flush", "compaction") else []
             produced.append(ids)
-            if r["type"] == "compaction" and ids:
+            if r["type"] == "compaction" and (ids or "runs" in r):  # the engine's may have dropped every row
                 for i in (*(task.get("upper_ids") or []), *(task.get("lower_ids") or [])):
                     made.pop(i, None)
             flushed.update(ids if r["type"] == "flush" else [])

@@ -38,20 +38,20 @@ def test_query(spark, duck, name):
 
 
 def test_all_batches(spark, duck):
-    assert entry.queries()["kv_log_batches_all"](spark, SF).count() == duck.execute("SELECT count(*) FROM kv_log").fetchone()[0]
+    assert entry.queries()["kv_log_batches"](spark, SF).count() == duck.execute("SELECT count(*) FROM kv_log").fetchone()[0]
 
 
 def test_engine_takes_all_events(spark, tmp_path):
     events = [(i, i % 70, "error" if i % 70 == i % 11 else f"e{i}") for i in range(200)]
     spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
-    df = entry.queries()["kv_engine_all"](spark, str(tmp_path))
+    df = entry.queries()["kv_engine"](spark, str(tmp_path))
     newest = {u: kind for _, u, kind in events}
     assert {tuple(r) for r in df.collect()} == {(f"u{u:08d}", kind) for u, kind in newest.items() if kind != "error"}
     assert spark.read.parquet(*df.inputFiles()).count() == len(events) + 2  # all versions, and those of the single writes
 
 
 def test_all_runs_and_transactions(spark, tmp_path):
-    """Against brute force, on ids beyond those of the fixed subsets."""
+    """Against brute force, on ids of any size."""
     events = [(i, i * i % 23, "click") for i in range(9000, 9200)] + [(0, 1, "click"), (5001, 99, "click")]
     spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     orders = [(i, i % 7, "O", 1.0) for i in range(600, 9600, 3)]
@@ -59,14 +59,14 @@ def test_all_runs_and_transactions(spark, tmp_path):
     run = lambda name: [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
     last = {u: max(i for i, v, _ in events if v == u) for _, u, _ in events}
     lost = {(i // 10, f"u{u:08d}") for i, u, _ in events if last[u] // 10 > i // 10}
-    assert lost and sorted(run("kv_conflicts_all")) == sorted(lost)
-    assert sorted(run("kv_hash_conflicts_all")) == sorted({(t,) for t, _ in lost})
+    assert lost and sorted(run("kv_conflicts")) == sorted(lost)
+    assert sorted(run("kv_hash_conflicts")) == sorted({(t,) for t, _ in lost})
     even = {u: max(i for i, v, _ in events if v == u and i // 1000 % 2 == 0) for i, u, _ in events if i // 1000 % 2 == 0}
-    assert sorted(run("kv_two_merge_all")) == sorted((f"u{u:08d}", even.get(u, last[u])) for u in last)
+    assert sorted(run("kv_two_merge")) == sorted((f"u{u:08d}", even.get(u, last[u])) for u in last)
     keys = [f"{i:010d}" for i, *_ in orders]
-    assert sorted(k for k, _ in run("kv_concat_runs_all")) == keys
-    assert sorted(k for k, _ in run("kv_concat_seek_all")) == [k for k in keys if k >= "0000000700"]
-    probed = run("kv_bloom_probe_all")
+    assert sorted(k for k, _ in run("kv_concat_runs")) == keys
+    assert sorted(k for k, _ in run("kv_concat_seek")) == [k for k in keys if k >= "0000000700"]
+    probed = run("kv_bloom_probe")
     assert sorted(k for _, k, maybe in probed if maybe and len(k) == 10) == keys and all(r == int(k[:10]) // 1000 for r, k, _ in probed)
     absent = [maybe for _, k, maybe in probed if len(k) == 11]
     assert len(absent) == len(keys) - len({k[:7] for k in keys}) and sum(absent) < 0.05 * len(absent)
