@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltbed.functions import bloom, codec, metrics
@@ -621,10 +621,10 @@ def kv_stream_ingest(spark, d):
 
 def _filled_engine(spark, d, batches: int = 6, **options):
     """An engine with all events: each event is a commit of its own, imported in batches by number, then two single
-    writes. Small runs, so that several levels are filled."""
+    writes. Small runs, so that there are several."""
     from siltbed.engine import Engine, Options
 
-    e = Engine(spark, shared_path(spark, "engine"), Options(**{"target_run_bytes": 64 << 10, **options}))
+    e = Engine(spark, shared_path(spark, "engine"), Options(**{"target_run_bytes": 1 << 20, **options}))
     log = event_log(spark, d).select("key", "value", "is_deleted", "commit_ts")
     lo, hi = log.agg(F.min("commit_ts"), F.max("commit_ts")).first()
     step = max(1, -(-((hi or 0) - (lo or 0) + 1) // batches))
@@ -647,11 +647,12 @@ def kv_engine(spark, d):
 
 @query(f"{_LOG} SELECT count(*) + 2 AS rows, count(DISTINCT key) + 1 AS keys, CAST(0 AS BIGINT) AS overlaps, true AS settled FROM kv")
 def kv_engine_levels(spark, d):
-    """After compactions: rows and keys over all levels, runs of a level below 0 that meet the next one, and whether
-    nothing more is due."""
-    e = _filled_engine(spark, d)
-    meta = e.runs_table().filter("level > 0")
-    overlaps = pruning.overlapping_pairs(meta).filter("overlaps_next").count()
+    """After compactions: rows and keys over all levels, runs of a level below 0 that reach past the first key of the
+    next one (a key with many versions may end one run and begin the next), and whether nothing more is due."""
+    e = _filled_engine(spark, d, target_run_bytes=256 << 10)
+    meta = e.runs_table().filter("level > 0")  # one row a run
+    following = F.lead("first_key").over(Window.partitionBy("level").orderBy("first_key", "last_key"))
+    overlaps = meta.withColumn("following", following).filter("following < last_key").count()
     due = compaction.pick(e.runs_table()).count() + (0 if compaction.due(e.counts()) is None else 1)
     log = e.log().groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.count("key").alias("keys"))
     return log.withColumn("overlaps", F.lit(overlaps).cast("bigint")).withColumn("settled", F.lit(due == 0))
