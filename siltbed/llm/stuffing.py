@@ -192,12 +192,10 @@ def one_each(p: DataFrame, *by: str) -> DataFrame:
     return p.groupBy(*by, "body").agg(F.min(F.struct("n", "row")).alias("b")).select("b.row")
 
 
-def usual_words(p: DataFrame, base: str) -> DataFrame:
-    """(lang, word, p): usual frequencies of the words of each language with MIN_PAGES bodies at least, over one page of
-    each body; words rarer than RARE are left out. base is a folder for what is written in between."""
-    fit = p.filter(F.length("lang") > 0)
-    first = written(one_each(fit, "lang"), f"{base}-first")
-    fit = fit.join(broadcast_if_small(first, f"{base}-first"), "row", "left_semi")
+def usual_words(fit: DataFrame) -> DataFrame:
+    """(lang, word, p): usual frequencies of the words of each language with MIN_PAGES pages at least in fit; words rarer
+    than RARE are left out."""
+    fit = fit.filter(F.length("lang") > 0)
     sizes = fit.groupBy("lang").agg(F.count(F.lit(1)).alias("pages")).filter(F.col("pages") >= MIN_PAGES)
     each = fit.select("lang", "n", F.explode(F.arrays_zip("words", "counts")).alias("x"))
     mass = each.groupBy("lang", F.col("x.words").alias("word")).agg(F.sum(F.col("x.counts") / F.col("n")).alias("mass"))
@@ -211,7 +209,7 @@ def explained(p: DataFrame, model: DataFrame, rows: int = MODEL_ROWS) -> DataFra
     if model.count() > rows:
         return explained_by_join(p, model)
     spark = p.sparkSession
-    table = model.orderBy("word", "lang").toPandas()
+    table = model.select("lang", "word", "p").toArrow().to_pandas().sort_values(["word", "lang"], ignore_index=True)
     langs = sorted(table["lang"].unique())
     words, at = np.unique(table["word"].to_numpy(object).astype(str), return_index=True) if len(table) else (np.empty(0, str), np.empty(0, int))
     order = table["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int64)
@@ -285,16 +283,20 @@ def measures(docs: DataFrame, **columns: str) -> DataFrame:
     base = shared_path(docs.sparkSession, "stuffing")
     p = written(with_body(pages(docs, **columns)), f"{base}/pages").filter("n > 0")
     shape = p.select("row", "id", "body", "lang", "n", "marks", "logged", F.floor(F.log2("n")).cast("int").alias("size")).join(curves(p), "row")
-    shape = written(shape, f"{base}/shape")
-    fit, judged, bad = p, None, None
+    firsts = written(one_each(p.filter(F.length("lang") > 0), "lang"), f"{base}/firsts")
+    few = broadcast_if_small(firsts, f"{base}/firsts")
+    shape = written(shape.join(few.withColumn("first", F.lit(True)), "row", "left"), f"{base}/shape")
+    once = p.join(few, "row", "left_semi")
+    fit, judged, bad = once, None, None
     for k in range(FITS):
-        model = written(usual_words(fit, f"{base}/model={k}"), f"{base}/model={k}")
+        model = written(usual_words(fit), f"{base}/model={k}")
         m = shape.join(explained(p, model), "row")
         m = m.join(bad.withColumn("bad", F.lit(True)), "row", "left") if bad is not None else m.withColumn("bad", F.lit(None).cast("boolean"))
         judged = _judged(written(m, f"{base}/measures={k}"), f"{base}/fit={k}")
         if k + 1 < FITS:
-            bad = written(judged.filter("stuffed").select("row"), f"{base}/flagged={k}")
-            fit = p.join(broadcast_if_small(bad, f"{base}/flagged={k}"), "row", "left_anti")
+            flagged = written(judged.filter("stuffed").select("row"), f"{base}/flagged={k}")
+            bad = broadcast_if_small(flagged, f"{base}/flagged={k}")
+            fit = once.join(bad, "row", "left_anti")
     return judged
 
 
@@ -302,9 +304,7 @@ def _judged(m: DataFrame, base: str) -> DataFrame:
     """m with the measures compared, and stuffed. Compared is with pages that say themselves that they are in the language
     they are like, each body once, and not flagged by the fit before: pages that are like no language are like some by
     chance, and would be that one's usual pages where it has few."""
-    usual = m.filter((F.col("lang") == F.col("like")) & F.col("bad").isNull())
-    first = one_each(usual, "like").withColumn("first", F.lit(True))
-    m = written(m.join(first, "row", "left"), f"{base}/bodies")
+    m = m.withColumn("first", F.col("first") & (F.col("lang") == F.col("like")) & F.col("bad").isNull())
     # All sides that are broadcast have at most one row for each language and size class.
     j = with_medians(m, m.filter("first"), ("share",))
     total = F.col("n") + F.col("logged")
