@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 
 from siltbed.functions import bloom, codec, metrics
 from siltbed.operators import compaction, merge, pruning, reads, txn
-from siltbed.session import shared_path, written
+from siltbed.session import local_rows, shared_path, written
 from siltbed.sources import manifest as mf
 from siltbed.sources.tables import table
 
+#: After so many rows a query that writes a log waits for it: the queue holds no more, however many rows there are.
+SYNC_ROWS = 9_000
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -712,8 +715,10 @@ def kv_wal_replay(spark, d):
 
     root = shared_path(spark, "wal")
     wal = WalBatcher(spark, root, WalOptions(queue_rows=1 << 30))
-    for r in event_log(spark, d).select("key", "commit_ts", "value", "is_deleted").toLocalIterator():
-        wal.submit(1, [(r["key"], 0, r["commit_ts"], r["value"], r["is_deleted"], None, None, None)])
+    for n, (key, ts, value, gone) in enumerate(local_rows(event_log(spark, d).select("key", "commit_ts", "value", "is_deleted")), 1):
+        wal.submit(1, [(key, 0, ts, value, gone, None, None, None)])
+        if n % SYNC_ROWS == 0:
+            wal.sync()
     wal.close()
     return runs.read_wal(spark, root).select("commit_ts", "value")
 

@@ -91,3 +91,29 @@ def test_stream_state(spark, tmp_path):
     for r in emitted:
         last[r[0]] = max(last.get(r[0], r), r, key=lambda x: x[1])
     assert set(last.values()) == want
+
+
+def test_log_is_waited_for(spark, tmp_path, monkeypatch):
+    """A log that is slower than its writer holds the writer up; the queue doesn't take in all rows."""
+    import time
+
+    from siltbed.sources import runs
+    from siltbed.sources.wal import WalBatcher
+
+    events = [(i, i % 70, None if i % 9 == 0 else "error" if i % 7 == 0 else "e\u2028\"\u00e9\n") for i in range(40_000)]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    waiting, append, submit = [0], runs.append_wal, WalBatcher.submit
+
+    def slow(*args):
+        time.sleep(0.05)
+        append(*args)
+
+    def watched(self, *args):
+        waiting[0] = max(waiting[0], self._rows)
+        return submit(self, *args)
+
+    monkeypatch.setattr(runs, "append_wal", slow)
+    monkeypatch.setattr(WalBatcher, "submit", watched)
+    got = entry.queries()["kv_wal_replay"](spark, str(tmp_path)).collect()
+    assert sorted((r["commit_ts"], r["value"] or "") for r in got) == [(i, kind or "") for i, _, kind in events]
+    assert waiting[0] < 10_000
