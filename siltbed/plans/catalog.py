@@ -673,8 +673,10 @@ def kv_engine_recover(spark, d):
     top = log.agg(F.max("commit_ts")).first()[0] or 0
     first = Engine(spark, path, Options(sync_wal=False, memtable_bytes=64 << 20, wal=WalOptions(queue_rows=1 << 30)))
     first.write_batch(log.filter(F.col("commit_ts") <= top // 2), order="commit_ts")
-    for r in log.filter(F.col("commit_ts") > top // 2).orderBy("commit_ts").toLocalIterator():
-        first.delete(r["key"]) if r["is_deleted"] else first.put(r["key"], r["value"])
+    for n, (key, value, gone, _) in enumerate(local_rows(log.filter(F.col("commit_ts") > top // 2).orderBy("commit_ts")), 1):
+        first.delete(key) if gone else first.put(key, value)
+        if n % SYNC_ROWS == 0:
+            first.wal.sync()
     first.wal.close()
     found = Engine(spark, path)
     # A delete has no value of its own in the engine.

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,9 +48,9 @@ def with_log_columns(rows: DataFrame) -> DataFrame:
     return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in LOG_SCHEMA.fields])
 
 
-def write_runs(rows: DataFrame, root: str, first_id: int, bloom: bool = True, block_bytes: int = 128 << 20, page_bytes: int = 1 << 20) -> list[dict]:
-    """Write each partition of rows as a sorted run, numbered from first_id in the order of the partitions; returns the
-    runs' metadata: run_id, first, last, rows, max_ts, bytes. Empty partitions give none.
+def write_runs(rows: DataFrame, root: str, first_id: int, bloom: bool = True, block_bytes: int = 128 << 20, page_bytes: int = 1 << 20, next_id: int | None = None) -> list[dict]:
+    """Write each partition of rows as a sorted run, numbered first_id and then from next_id (first_id + 1 if it isn't
+    given) in the order of the partitions; returns the runs' metadata: run_id, first, last, rows, max_ts, bytes. Empty partitions give none.
 
     The key column gets a Parquet Bloom filter, which point reads use to skip row groups. The files are written beside
     the runs and moved to their places, so a run is there as a whole or not at all; a number that an earlier, lost
@@ -70,7 +71,7 @@ def write_runs(rows: DataFrame, root: str, first_id: int, bloom: bool = True, bl
     for name, meta in zip(files, _footers(spark, attempt, files), strict=True):
         if not meta["rows"]:
             continue
-        run_id = first_id + len(metas)
+        run_id = (first_id + 1 if next_id is None else next_id) + len(metas) - 1 if metas else first_id
         to = path(run_path(root, run_id))
         fs.delete(to, True)
         fs.mkdirs(to)
@@ -144,29 +145,27 @@ def wal_ids(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(s.getPath().getName()) for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def replay_wal(spark: SparkSession, root: str, memtable_id: int) -> list[tuple]:
-    """The rows of a memtable's log in order of writing (a memtable is bounded, so its log is)."""
+def replay_wal(spark: SparkSession, root: str, memtable_id: int) -> Iterator[tuple]:
+    """The rows of a memtable's log in order of writing."""
     path = wal_path(root, memtable_id)
     if not exists(spark, path):
-        return []
+        return
     fs, p = hadoop_fs(spark, path)
-    out = []
     for s in sorted(fs.listStatus(p), key=lambda s: s.getPath().getName()):
         name = s.getPath().getName()
         if name.endswith(".json"):
             for x in read_bytes(spark, f"{path}/{name}").decode().splitlines():
                 rec = json.loads(x)
-                out.append(tuple(rec.get(c) for c in LOG_SCHEMA.names))
-    return out
+                yield tuple(rec.get(c) for c in LOG_SCHEMA.names)
 
 
-def read_wal(spark: SparkSession, root: str) -> DataFrame:
-    """All logged rows as a table with memtable_id, for analysis of large logs."""
-    paths = [wal_path(root, m) for m in wal_ids(spark, root)]
+def read_wal(spark: SparkSession, root: str, ids: list[int] | None = None) -> DataFrame:
+    """All logged rows, or those of some memtables, as a table with memtable_id, for large logs. A damaged line is an error."""
+    paths = [wal_path(root, m) for m in (wal_ids(spark, root) if ids is None else ids)]
     if not paths:
         return spark.createDataFrame([], LOG_SCHEMA).withColumn("memtable_id", F.lit(None).cast("bigint"))
     # By folder, as a glob of files lists each file in a task of its own.
-    df = spark.read.schema(LOG_SCHEMA).option("pathGlobFilter", "*.json").json(paths)
+    df = spark.read.schema(LOG_SCHEMA).option("pathGlobFilter", "*.json").option("mode", "FAILFAST").json(paths)
     df = df.withColumn("memtable_id", F.regexp_extract(F.input_file_name(), r"/wal/(\d+)/", 1).cast("bigint"))
     # A scan puts three or four of these small files into a task: as many as make up TASK_BYTES serve better.
     tasks = -(-sum(size_of(spark, p) for p in paths) // TASK_BYTES)
