@@ -693,18 +693,22 @@ def kv_engine_txn(spark, d):
     from siltbed.sources.wal import WalOptions
 
     e = Engine(spark, shared_path(spark, "engine"), Options(sync_wal=False, memtable_bytes=64 << 20, wal=WalOptions(queue_rows=1 << 30)))
-    rows = event_log(spark, d).orderBy("commit_ts").select("txn_id", "key", "value", "is_deleted").toLocalIterator()
-    lost, open_ = [], {}
-    for pair, members in groupby(rows, lambda r: r["txn_id"] // 2):
+    rows = local_rows(event_log(spark, d).orderBy("commit_ts").select("txn_id", "key", "value", "is_deleted"))
+    lost, open_, n = [], {}, 0
+    for pair, members in groupby(rows, lambda r: r[0] // 2):
         open_ = {i: e.write_txn() for i in (2 * pair, 2 * pair + 1)}
-        for r in members:
-            t = open_[r["txn_id"]]
-            t.delete(r["key"]) if r["is_deleted"] else t.put(r["key"], r["value"])
+        for txn_id, key, value, gone in members:
+            t = open_[txn_id]
+            t.delete(key) if gone else t.put(key, value)
+            n += 1
         for i, t in open_.items():
             try:
                 t.commit()
             except Conflict:
                 lost.append((i,))
+        if n >= SYNC_ROWS:
+            e.wal.sync()
+            n = 0
     e.close()
     return spark.createDataFrame(lost, "txn_id bigint")
 
